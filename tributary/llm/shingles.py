@@ -116,7 +116,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 def short_run(hashes: np.ndarray) -> np.ndarray:
     """The one shingle of a text with fewer words than a shingle has."""
     factors, _ = powers(len(hashes) + 1)
-    return mix((hashes * factors[1:]).sum(dtype=U64)[None] + U64(len(hashes)) * _LENGTH)
+    return mix((hashes * factors[1:]).sum(dtype=U64)[None] + np.array([len(hashes)], dtype=U64) * _LENGTH)
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
