@@ -12,11 +12,13 @@ has a list of all of them. The table of often seen shingles only orders: any
 content gives the same links. It is counted over all texts, and the
 ``frequent_entries`` most counted entries are kept, which bounds it.
 
-Links. Equal sets are one node. In each signature's list the members are compared
-with the list's first member only, which is linear; components of those links
-follow. Only lists that still hold several components go on: their members are
-compared across components, which a group of many near copies doesn't reach, as
-it is one component by then. Candidate pairs are verified on the texts.
+Links. Equal sets are one node. In some rounds the members of each signature's list
+are compared with one of them only, which is linear, and components of the links
+found so far follow. Lists in one component are done. The members of the others
+are compared across components at last, which a group of many near copies
+mostly doesn't reach. A pair is taken up for a signature only if, were it the
+first they share, enough shingles would be left on both sides; this holds for the
+first one that linked sets share. Pairs are verified on the texts.
 
 Defined cases: null and empty texts have the empty set and link with nothing; a
 text of fewer than five words is one shingle; equal texts are linked whatever
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.graph import components
@@ -43,9 +45,11 @@ from tributary.llm.shingles import U64, document_sets, mix, one_text, pieces, po
 
 PERCENT = 75
 CLASS_FLOORS = (64, 100_000)  # texts from which a shingle is of class 2, of class 3
+ORDER_FLOOR = 3  # texts from which a shingle's count takes part in the order
 FREQUENT_ENTRIES = 1 << 20
 _FILTER_BITS = 22
 _SMALL = U64(0xA0761D6478BD642F)
+STAR_ROUNDS = 2
 _FREQUENT_PER_TASK = 2  # a task reports shingles of so many of its texts
 
 
@@ -121,31 +125,36 @@ def _combined(shingles: np.ndarray, classes: np.ndarray, need: int, bucket: int,
     smallest = math.ceil((100 / percent) ** bucket)
     parts = {k: max(1, needed(smallest, percent) // k) for k in range(2, len(CLASS_FLOORS) + 2)}
     counts: dict[tuple[int, int], list[int]] = defaultdict(list)
-    gained, size = 0, 0
     kinds = classes.tolist()
     rare = int(np.argmax(classes > 1)) if (classes > 1).any() else len(kinds)
     gained = size = min(rare, need)
+    before = list(range(size))
     while gained < need:
         if size == len(kinds):
             raise AssertionError("a set above the small sizes always has enough shingles")
+        before.append(gained)
         k = kinds[size]
         part = counts[k, int(shingles[size] % U64(parts[k]))]
         part.append(size)
         gained += len(part) >= k
         size += 1
-    found = [shingles[: min(rare, size)]]
+    spots = np.array(before, dtype=np.int64)
+    single = min(rare, size)
+    found = [(shingles[:single], spots[:single])]
     for (k, part), own in counts.items():
         if len(own) >= k:
-            tokens = np.sort(shingles[own])
-            picks = np.array(list(itertools.combinations(range(len(own)), k)))
+            picks = np.array(list(itertools.combinations(own, k)))
             factors, _ = powers(k + 1)
             tag = mix(np.array([(bucket << 40) + (part << 8) + k], dtype=U64))
-            found.append(mix((tokens[picks] * factors[1:]).sum(axis=1, dtype=U64) ^ tag))
+            found.append((mix((shingles[picks] * factors[1:]).sum(axis=1, dtype=U64) ^ tag), spots[picks[:, -1]]))
     return found
 
 
-def signatures(shingles: np.ndarray, frequent: Frequent, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the indexed combinations of a set; two linked sets share one at least.
+def signatures(shingles: np.ndarray, frequent: Frequent, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the indexed combinations of a set, of which two linked sets share one at least, and their spots.
+
+    A combination's spot is the number of the set's shingles that another set lacks
+    at least if this is the first combination, in the common order, that they share.
 
     Sets link within a ratio of sizes, so with sets of their own size bucket or of
     the next: each set is indexed under its bucket and the one above. Sets so small
@@ -154,7 +163,7 @@ def signatures(shingles: np.ndarray, frequent: Frequent, percent: int = PERCENT)
     """
     n = len(shingles)
     if not n:
-        return shingles
+        return shingles, np.empty(0, dtype=np.int64)
     lacking = sum(range(1, len(CLASS_FLOORS) + 1)) * 100 // percent
     need = needed(n, percent)
     classes, texts = frequent.of(shingles)
@@ -162,35 +171,38 @@ def signatures(shingles: np.ndarray, frequent: Frequent, percent: int = PERCENT)
     ordered, classes = shingles[order], classes[order]
     found = []
     if n <= lacking * 100 // percent:
-        found.append(mix(ordered[:need] ^ _SMALL))
+        found.append((mix(ordered[:need] ^ _SMALL), np.arange(need)))
     if n > lacking:
         bucket = int(math.log(n) / math.log(100 / percent) + 1e-9)
         for b in (bucket, bucket + 1):
             found += _combined(ordered, classes, need, b, percent)
             if not (classes[:need] > 1).any():
                 break
-    return np.unique(np.concatenate(found))
+    sigs, spots = (np.concatenate(x) for x in zip(*found, strict=True))
+    sigs, at = np.unique(sigs, return_index=True)
+    return sigs, spots[at]
 
 
 def postings(docs: DataFrame, frequent: Frequent, percent: int = PERCENT) -> DataFrame:
-    """sig, node, n: the signatures of each distinct set (sets met again in a task are skipped)."""
+    """sig, node, n, spot: the signatures of each distinct set (sets met again in a task are skipped)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for _, data, offsets in pieces(batches, "text"):
-            found, nodes, sizes = [], [], []
+            found, nodes, sizes, spots = [], [], [], []
             for s in document_sets(data, offsets):
                 node = set_hash(s)
                 if node and node not in seen:
                     seen.add(node)
-                    own = signatures(s, frequent, percent)
+                    own, places = signatures(s, frequent, percent)
                     found.append(own)
+                    spots.append(places)
                     nodes.append(np.full(len(own), node, dtype=np.int64))
                     sizes.append(np.full(len(own), len(s), dtype=np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found, nodes, sizes)], ["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found, nodes, sizes, spots)], ["sig", "node", "n", "spot"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, n long")
+    return docs.select("text").mapInArrow(run, "sig long, node long, n long, spot long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -230,13 +242,19 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
 
 def frequent_shingles(rows: DataFrame, entries: int = FREQUENT_ENTRIES) -> Frequent:
     """The most often seen shingles, at most ``entries``; they only order the others' index."""
-    seen = rows.where(~F.col("doc")).groupBy("node").agg(F.sum("n").alias("texts")).where(F.col("texts") >= CLASS_FLOORS[0])
+    seen = rows.where(~F.col("doc")).groupBy("node").agg(F.sum("n").alias("texts")).where(F.col("texts") >= ORDER_FLOOR)
     top = seen.orderBy(F.desc("texts"), "node").limit(entries).toPandas()
     return Frequent(top["node"].to_numpy(np.int64).view(U64), top["texts"].to_numpy(np.int64))
 
 
-def _may_link(n: str, m: str, percent: int):
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+def _may_link(n: str, spot: str, m: str, other: str, percent: int) -> Column:
+    """Whether two sets of n and m shingles can link if a signature at these spots is the first they share.
+
+    Links need an overlap of percent / (100 + percent) of n + m. Where this isn't so
+    for a shared signature, it may be so for an earlier one, or they don't link.
+    """
+    overlap = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    return (F.col(spot) <= F.col(n) - overlap) & (F.col(other) <= F.col(m) - overlap)
 
 
 def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,33 +271,38 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = rows.where("doc").select("doc_id", "node", "n")
     nodes = scratch.save(known.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows))
-    lists = _lists(docs, frequent, percent)
-    lists = scratch.save(lists, "lists")
-    # each member against the first of its list
-    first = lists.where(F.col("node") != F.col("pivot")).where(_may_link("n", "pivot_n", percent))
-    links = scratch.save(verified(first.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), docs, nodes, percent), "links-1")
-    near = components(links, scratch, "near")
-    # lists with several components left: members of one against those of another
-    labelled = lists.join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).select("sig", "node", "n", "pivot", "label")
-    open_lists = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    members = scratch.save(labelled.where(F.col("node") != F.col("pivot")).join(open_lists, "sig"), "open")
-    left, right = (members.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label")]) for side in "ab")
-    across = left.join(right, "sig").where((F.col("label_a") < F.col("label_b")) & _may_link("n_a", "n_b", percent))
-    more = scratch.save(verified(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), docs, nodes, percent), "links-2")
-    every = links.unionByName(more)
-    final = near if more.isEmpty() else components(every, scratch, "all")
-    reps = nodes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    lists = scratch.save(_lists(docs, frequent, percent), "lists")
+    tried = links = None
+    labels = spark.createDataFrame([], "node long, component long")
+    for k in range(STAR_ROUNDS + 1):
+        last = k == STAR_ROUNDS
+        members = scratch.save(_open(lists, labels), f"open-{k}")
+        if last:  # what is left, members of one component against those of another
+            left, right = (members.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "spot", "label")]) for side in "ab")
+            pairs = left.join(right, "sig").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & _may_link("n_a", "spot_a", "n_b", "spot_b", percent))
+            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        else:
+            pairs = _with_first(members, k, percent)
+        pairs = pairs.distinct()
+        pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, f"pairs-{k}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        fresh = scratch.save(verified(pairs, docs, nodes, percent), f"links-{k}")
+        links = fresh if links is None else links.unionByName(fresh)
+        if not fresh.isEmpty():
+            labels = components(links, scratch, f"labels-{k}")
+        lists = members.drop("label")
+    reps = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     reps = scratch.save(reps, "components")
     smallest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    labels = reps.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return known.join(labels, "node", "left").select(
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    known_labels = reps.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return known.join(known_labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
 def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """The signatures that several sets have: sig, node, n, and the list's first member as pivot, pivot_n."""
+    """The signatures that several sets have: sig, node, n, spot."""
 
     class Held:
         """Reads the broadcast table on the executor."""
@@ -288,10 +311,25 @@ def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
             return frequent.value.of(shingles)
 
     over = Window.partitionBy("sig")
-    ranked = postings(docs, Held(), percent).select(
-        "sig", "node", "n", F.min(F.struct("node", "n")).over(over).alias("first"), F.max("node").over(over).alias("last")
-    )
-    return ranked.where(F.col("first.node") != F.col("last")).select("sig", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")).distinct()
+    ranked = postings(docs, Held(), percent).select("sig", "node", "n", "spot", F.min("node").over(over).alias("first"), F.max("node").over(over).alias("last"))
+    return ranked.where(F.col("first") != F.col("last")).select("sig", "node", "n", "spot").distinct()
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose members have several labels, with the labels; a node without one is its own."""
+    over = Window.partitionBy("sig")
+    labelled = lists.join(labels, "node", "left").select("sig", "node", "n", "spot", F.coalesce("component", "node").alias("label"))
+    ranked = labelled.withColumn("low", F.min("label").over(over)).withColumn("high", F.max("label").over(over))
+    return ranked.where("low <> high").select("sig", "node", "n", "spot", "label")
+
+
+def _with_first(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member with one of its list: one that lacks few of the list's common shingles, another each round."""
+    rank = F.struct((F.col("spot") + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 + 4 * k))).alias("rank"), "node", "n", "spot", "label")
+    ranked = members.withColumn("hub", F.min(rank).over(Window.partitionBy("sig")))
+    flat = ranked.where(F.col("label") != F.col("hub.label")).select("node", "n", "spot", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.spot").alias("hub_spot"))
+    near = flat.where(_may_link("n", "spot", "hub_n", "hub_spot", percent))
+    return near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
