@@ -2,5 +2,398 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tributary.functions import names
+from tributary.operators import accounting, admission, merge, paths, ranges, routing, settings, suppression
+from tributary.plans.graph import connected, reachable
+from tributary.relations import derive, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str, recursive: bool = False):
+    """Register a query, with its oracle over the derived relations ``views``."""
+
+    def registered(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = oracle(sql, *views, recursive=recursive) if views else sql
+        return f
+
+    return registered
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# the merge
+
+@query("select analyzer, code, count(*) n, count(distinct component) components from findings group by analyzer, code", "findings")
+def union_stamp(spark, sf_dir):
+    """Three reports, stamped with their analyzer and put together as a multiset."""
+    found = derive(spark, sf_dir, "findings")
+    reports = [merge.stamp(found.where(F.col("analyzer") == f"an{i}").drop("analyzer"), f"an{i}") for i in range(3)]
+    return merge.union_reports(reports).groupBy("analyzer", "code").agg(F.count("*").alias("n"), F.count_distinct("component").alias("components"))
+
+
+@query("select path, ref, cast(row_number() over (partition by path order by path, line, col, code, ref, analyzer) as integer) place from findings", "findings")
+def canonical_order(spark, sf_dir):
+    return merge.canonical_rank(derive(spark, sf_dir, "findings"), ("path",)).select("path", "ref", "place")
+
+
+@query("""/*with*/ r as (select *, row_number() over (partition by component order by path, line, col, code, ref, analyzer) k from findings)
+select component, ref, path, line from r where k = 1""", "findings")
+def first_per_id(spark, sf_dir):
+    return merge.first_per(derive(spark, sf_dir, "findings"), ["component"], list(merge.CANONICAL)).select("component", "ref", "path", "line")
+
+
+@query("""select a.edge, a.side, count(*) pairs from evaluations a join evaluations b on a.edge = b.edge and a.side <> b.side
+group by a.edge, a.side""", "evaluations")
+def edge_pairing(spark, sf_dir):
+    """Evaluations against those of the edge's other sides, counted without making the pairs."""
+    sides = derive(spark, sf_dir, "evaluations").groupBy("edge", "side").agg(F.count("*").alias("k"))
+    other = sides.select(F.col("edge").alias("e"), F.col("side").alias("s"), F.col("k").alias("m"))
+    met = sides.join(other, (F.col("edge") == F.col("e")) & (F.col("side") != F.col("s")))
+    return met.groupBy("edge", "side").agg(F.sum(F.col("k") * F.col("m")).alias("pairs"))
+
+
+@query("""select edge, side, min(case state when 'live' then 0 when 'dead' then 1 else 2 end) state_rank from evaluations group by edge, side""", "evaluations")
+def strongest_state(spark, sf_dir):
+    return merge.strongest_states(derive(spark, sf_dir, "evaluations"))
+
+
+@query("""/*with*/ s as (select edge, side, min(case state when 'live' then 0 when 'dead' then 1 else 2 end) r from evaluations group by edge, side),
+f as (select edge, min(side) side from s where r = 2 group by edge)
+select edge, side, cast(row_number() over (order by edge) as integer) number from f""", "evaluations")
+def stale_edges(spark, sf_dir):
+    return merge.stale_edges(derive(spark, sf_dir, "evaluations"))
+
+
+@query("""select edge, symbol from evaluations e where state = 'dead' and not exists (select 1 from evaluations o where o.edge = e.edge and o.side <> e.side)""", "evaluations")
+def unresolved_evaluations(spark, sf_dir):
+    return merge.unresolved(derive(spark, sf_dir, "evaluations")).select("edge", "symbol")
+
+
+_DROPPED = """/*with*/ dead as (select * from evaluations where state = 'dead'),
+seeds as (select d.component from dead d where exists (select 1 from evaluations o where o.edge = d.edge and o.side <> d.side)
+  and (exists (select 1 from evaluations o where o.edge = d.edge and o.side <> d.side and o.state = 'live')
+       or not exists (select 1 from evaluations o where o.edge = d.edge and o.side <> d.side and o.state = 'dead'))),
+arcs as (select distinct o.component src, d.component dst from dead d join dead o on o.edge = d.edge and o.side <> d.side),
+dropped as (select component from seeds union select a.dst from dropped p join arcs a on a.src = p.component)"""
+_PROMOTED = _DROPPED + """,
+kept as (select analyzer, edge, side, symbol, component from dead d where exists (select 1 from evaluations o where o.edge = d.edge and o.side <> d.side)
+  and component not in (select component from dropped))"""
+
+
+@query(f"{_DROPPED} select component from dropped", "evaluations", recursive=True)
+def fixpoint_dropped(spark, sf_dir):
+    return merge.dropped_components(derive(spark, sf_dir, "evaluations"))
+
+
+@query(f"{_PROMOTED} select * from kept", "evaluations", recursive=True)
+def promoted(spark, sf_dir):
+    return merge.promoted(derive(spark, sf_dir, "evaluations"))
+
+
+_LABELS = _PROMOTED + """,
+l as (select distinct a.component a, b.component b from kept a join kept b on a.edge = b.edge and a.side <> b.side),
+walk as (select distinct component a, component b from kept union select w.a, l.b from walk w join l on l.a = w.b),
+labels as (select a component, min(b) label from walk group by a)"""
+
+
+@query(f"{_LABELS} select label, count(*) components from labels group by label", "evaluations", recursive=True)
+def component_labels(spark, sf_dir):
+    """Connected sets of components over promoted pairs, and their size."""
+    kept = merge.promoted(derive(spark, sf_dir, "evaluations"))
+    return merge.component_labels(kept).groupBy("label").agg(F.count("*").alias("components"))
+
+
+@query("""/*with*/ m as (select component, max(class_rank) cap from findings where root = 1 and test_only = 0 group by component)
+select f.component, greatest(class_rank, coalesce(cap, 0)) class_rank, count(*) n from findings f left join m using (component) group by all""", "findings")
+def confidence_cap(spark, sf_dir):
+    return merge.capped(derive(spark, sf_dir, "findings")).groupBy("component", "class_rank").agg(F.count("*").alias("n"))
+
+
+@query("select component, count(*) symbols, cast(sum(deletable) as bigint) deletable, count(*) filter (root = 1) roots from findings group by component", "findings")
+def component_sums(spark, sf_dir):
+    found = derive(spark, sf_dir, "findings")
+    return found.groupBy("component").agg(F.count("*").alias("symbols"), F.sum("deletable").alias("deletable"), F.count_if(F.col("root") == 1).alias("roots"))
+
+
+# accounting and policy
+
+@query("""select component, count(distinct path || chr(0) || l) as lines from (select component, path, unnest(generate_series(line, end_line)) l from findings) group by component""", "findings")
+def distinct_lines(spark, sf_dir):
+    return accounting.distinct_lines(derive(spark, sf_dir, "findings"), ["component"])
+
+
+@query("""/*with*/ d as (select component, count(distinct path || chr(0) || l) as lines from (select component, path, unnest(generate_series(line, end_line)) l from findings) group by component),
+s as (select component, cast(sum(end_line - line + 1) as bigint) summed from findings group by component)
+select component, summed, lines, summed - lines excess from s join d using (component)""", "findings")
+def shared_line_correction(spark, sf_dir):
+    return accounting.shared_line_correction(derive(spark, sf_dir, "findings"))
+
+
+@query("""select count(*) findings, count(*) filter (severity_rank = 0) allow, count(*) filter (severity_rank = 1) warn, count(*) filter (severity_rank = 2) deny,
+(select cast(sum(m) as bigint) from (select max(deletable) m from findings where root = 1 group by component)) deletable_lines from findings""", "findings")
+def totals_recount(spark, sf_dir):
+    return accounting.totals(derive(spark, sf_dir, "findings"))
+
+
+@query("select ref, path, deletable from findings order by deletable desc, path, line, col, code, ref, analyzer limit 100", "findings")
+def top_k_cap(spark, sf_dir):
+    """The report's cap: the 100 largest findings."""
+    found = derive(spark, sf_dir, "findings")
+    return accounting.cap(found, 100, [F.desc("deletable"), *merge.CANONICAL]).select("ref", "path", "deletable")
+
+
+@query("select distinct code from findings where severity_rank >= 2", "findings")
+def failing_subjects(spark, sf_dir):
+    return derive(spark, sf_dir, "findings").where("severity_rank >= 2").select("code").distinct()
+
+
+_LEVELS = [("DS1001", 2), ("DS2", 0), ("DS3002", 1), ("DS3", 2)]
+
+
+@query(f"""/*with*/ lv(code, level) as (values {", ".join(map(str, _LEVELS))})
+select f.code, coalesce(x.level, y.level, severity_rank) severity_rank, count(*) n from findings f left join lv x on x.code = f.code left join lv y on y.code = substr(f.code, 1, 3)
+where coalesce(x.level, y.level, severity_rank) > 0 group by all""", "findings")
+def severity_lookup(spark, sf_dir):
+    levels = spark.createDataFrame(_LEVELS, "code string, level int")
+    return accounting.restate(derive(spark, sf_dir, "findings"), levels).groupBy("code", "severity_rank").agg(F.count("*").alias("n"))
+
+
+@query("select case when count(*) filter (severity_rank >= 2) > 0 then 1 else 0 end exit_code from findings", "findings")
+def verdict(spark, sf_dir):
+    return accounting.verdict(derive(spark, sf_dir, "findings"), 2)
+
+
+# configuration
+
+@query("""/*with*/ r as (select *, row_number() over (partition by key order by source_rank, seq) k from settings where value is not null)
+select key, value, source from r where k = 1""", "settings")
+def config_resolution(spark, sf_dir):
+    return settings.resolve(derive(spark, sf_dir, "settings"))
+
+
+@query("select key, count(distinct source) sources, count(distinct source) - 1 losing from settings where value is not null group by key", "settings")
+def config_overridden(spark, sf_dir):
+    return settings.overridden(derive(spark, sf_dir, "settings"))
+
+
+@query("select key from (select distinct 'k' || c_custkey as key from customer) r where key not in (select key from settings where value is not null)", "settings")
+def config_missing(spark, sf_dir):
+    required = _read(spark, sf_dir, "customer").selectExpr("'k' || c_custkey as key").distinct()
+    return settings.missing(derive(spark, sf_dir, "settings"), required)
+
+
+# admission
+
+@query("select ord, name from analyzers where conformance <> 'pass'", "analyzers")
+def admission_conformance(spark, sf_dir):
+    return admission.not_conformant(derive(spark, sf_dir, "analyzers"))
+
+
+@query("select ord, name from analyzers where omitted > 0", "analyzers")
+def admission_omitted(spark, sf_dir):
+    return admission.with_omissions(derive(spark, sf_dir, "analyzers"))
+
+
+@query("select name, count(*) inputs, min(ord) first_ord from analyzers group by name having count(*) > 1", "analyzers")
+def admission_names(spark, sf_dir):
+    return admission.repeated_names(derive(spark, sf_dir, "analyzers"))
+
+
+@query("select ord, name, target_root from analyzers where target_root <> (select target_root from analyzers order by ord limit 1)", "analyzers")
+def admission_target(spark, sf_dir):
+    return admission.other_targets(derive(spark, sf_dir, "analyzers"))
+
+
+@query("select ord, name, version from analyzers where version not in ('1.0', '1.1', '1.2')", "analyzers")
+def admission_version(spark, sf_dir):
+    return admission.accepted_version(derive(spark, sf_dir, "analyzers"), ["1.0", "1.1", "1.2"])
+
+
+@query("select name, count(distinct version || '/' || nation) forms from analyzers group by name having count(distinct version || '/' || nation) > 1", "analyzers")
+def admission_collisions(spark, sf_dir):
+    return admission.collisions(derive(spark, sf_dir, "analyzers"), "name", ["version", "nation"])
+
+
+# routing
+
+_CONSUMERS = "select c_custkey as consumer, array(c_mktsegment, 'n' || (c_nationkey % 9)) as languages from customer"
+_PROVIDERS = "select s_suppkey as provider, array('n' || (s_nationkey % 7), 'x' || (s_suppkey % 5)) as languages from supplier"
+_ROUTE = """c as (select c_custkey consumer, unnest([c_mktsegment, 'n' || (c_nationkey % 9)]) l from customer),
+p as (select s_suppkey provider, unnest(['n' || (s_nationkey % 7), 'x' || (s_suppkey % 5)]) l from supplier)"""
+
+
+def _route_sides(spark, sf_dir):
+    for name in ("customer", "supplier"):
+        _read(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(_CONSUMERS), spark.sql(_PROVIDERS)
+
+
+@query(f"with {_ROUTE} select distinct consumer, provider from c join p using (l)")
+def routing_pairs(spark, sf_dir):
+    return routing.route(*_route_sides(spark, sf_dir))
+
+
+@query(f"with {_ROUTE} select distinct consumer from c where consumer not in (select consumer from c join p using (l))")
+def routing_unclaimed(spark, sf_dir):
+    return routing.unclaimed(*_route_sides(spark, sf_dir))
+
+
+@query(f"with {_ROUTE} select distinct l as language from c where l not in (select l from p)")
+def routing_uncovered(spark, sf_dir):
+    return routing.uncovered_languages(*_route_sides(spark, sf_dir))
+
+
+@query("""/*with*/ u as (select distinct 'root://' || (col % 4) || '/' || substr(code, 3) ref, 'root://' || (col % 4) scheme, analyzer from findings where deletable % 7 < 2 and component like '%/c-1'),
+rd as (select distinct 'root://' || (col % 4) scheme, analyzer from findings where component like '%/c-1' and col % 4 <> 1 or analyzer = 'an0')
+select distinct ref, analyzer from u where (select count(distinct analyzer) from u v where v.ref = u.ref) >= (select count(distinct analyzer) from rd where rd.scheme = u.scheme)
+and exists (select 1 from rd where rd.scheme = u.scheme)""", "findings")
+def unmatched_roots(spark, sf_dir):
+    found = derive(spark, sf_dir, "findings")
+    scheme = F.concat(F.lit("root://"), F.col("col") % 4)
+    some = found.where("component like '%/c-1'")
+    reported = some.where("deletable % 7 < 2").select(F.concat(scheme, F.lit("/"), F.substr("code", F.lit(3))).alias("ref"), scheme.alias("scheme"), "analyzer").distinct()
+    readers = found.where("component like '%/c-1' and col % 4 <> 1 or analyzer = 'an0'").select(scheme.alias("scheme"), "analyzer").distinct()
+    return routing.unmatched_roots(reported, readers)
+
+
+# paths
+
+_SHORT = "select distinct regexp_replace(path, '^[^/]*/', '') as path from files"
+
+
+@query(f"""/*with*/ r as ({_SHORT}), l as (select distinct path from files)
+select l.path left_path, r.path right_path from l, r where l.path = r.path or ends_with(l.path, '/' || r.path) or ends_with(r.path, '/' || l.path)""", "files")
+def suffix_file_join(spark, sf_dir):
+    files = derive(spark, sf_dir, "files")
+    files.createOrReplaceTempView("files")
+    return paths.same_file(files, spark.sql(_SHORT))
+
+
+_DIRS = "select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as dir from files where file_id % 3 = 0 and path like '%/%/%'"
+
+
+@query(f"""/*with*/ d as ({_DIRS} union select distinct split_part(path, '/', 1) from files where file_id % 2 = 0), l as (select distinct path from files)
+select l.path, arg_max(d.dir, length(d.dir)) dir from l left join d on l.path = d.dir or starts_with(l.path, d.dir || '/') group by l.path""", "files")
+def prefix_join(spark, sf_dir):
+    files = derive(spark, sf_dir, "files")
+    files.createOrReplaceTempView("files")
+    dirs = spark.sql(f"{_DIRS} union select distinct split_part(path, '/', 1) from files where file_id % 2 = 0")
+    return paths.nearest_ancestor(files, dirs)
+
+
+@query("select split_part(path, '.', 1) host, count(*) hits from files where regexp_matches(path, '^.*example.*/[a-z][a-z]/.*$') group by 1", "files")
+def glob_match(spark, sf_dir):
+    hit = F.col("path").rlike(paths.glob_regex("*example*/")[:-1] + "[a-z][a-z]/.*$")
+    return derive(spark, sf_dir, "files").where(hit).groupBy(F.split_part("path", F.lit("."), F.lit(1)).alias("host")).agg(F.count("*").alias("hits"))
+
+
+@query("""/*with*/ g as (select split_part(path, '.', 1) host, path from files),
+p as (select host, path, string_split(path, '/') s from g),
+n as (select host, count(*) n from g group by host),
+k as (select host, d, array_to_string(s[1:d], '/') dir, count(*) k from (select host, path, s, unnest(range(1, len(s) + 1)) d from p) group by all),
+b as (select host, arg_max(dir, d) dir from k join n using (host) where k = n group by host)
+select host, coalesce(dir, '') dir from n left join b using (host)""", "files")
+def common_ancestor(spark, sf_dir):
+    rows = derive(spark, sf_dir, "files").select(F.split_part("path", F.lit("."), F.lit(1)).alias("host"), "path")
+    return paths.common_directory(rows, ["host"])
+
+
+_CENSUS = {"two": (("2", "4"), ("en", "de")), "zero": (("0", "5"), ("fr",)), "odd": (("1", "3", "7", "9"), ())}
+
+
+@query("""select language, count(*) files from (
+select unnest(list_filter([case when right(path, 1) in ('2', '4') and not list_has_any(d, ['en', 'de']) then 'two' end,
+ case when right(path, 1) in ('0', '5') and not list_has_any(d, ['fr']) then 'zero' end,
+ case when right(path, 1) in ('1', '3', '7', '9') then 'odd' end], lambda x: x is not null)) language
+from (select path, string_split(path, '/')[1:len(string_split(path, '/')) - 1] d from files)) group by language""", "files")
+def census(spark, sf_dir):
+    return paths.census(derive(spark, sf_dir, "files"), _CENSUS)
+
+
+# suppressions
+
+@query("""with s as (select source path, cast(doc_id as varchar) symbol, case when toxic = 1 then null else 'because' end reason, quality from labels join documents using (doc_id)),
+d as (select source path, cast(doc_id as varchar) symbol from documents where doc_id % 3 <> 0)
+select s.path, count(*) filter (d.symbol is not null) in_effect, count(*) filter (d.symbol is not null and reason is not null) reasons, count(*) filter (d.symbol is null) stale
+from s left join d on s.symbol = d.symbol and s.path = d.path group by s.path""")
+def suppression_binding(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    known = _read(spark, sf_dir, "labels").join(docs, "doc_id")
+    wanted = known.select(F.col("source").alias("path"), F.col("doc_id").cast("string").alias("symbol"), F.when(F.col("toxic") == 1, None).otherwise("because").alias("reason"))
+    there = docs.where("doc_id % 3 <> 0").select(F.col("source").alias("path"), F.col("doc_id").cast("string").alias("symbol"))
+    return suppression.counts(suppression.bind(wanted, there))
+
+
+@query("""/*with*/ b as (select ref, min(case when deletable > 45 then 1 when col > 5 then 2 end) p from findings group by ref),
+r as (select ref, p from findings join b using (ref))
+select coalesce(case p when 1 then 'large' when 2 then 'late' end, 'none') reason, count(*) n from r group by 1""", "findings")
+def suppression_hold(spark, sf_dir):
+    found = derive(spark, sf_dir, "findings")
+    large = found.where("deletable > 45").select("ref", F.lit("large").alias("reason"), F.lit(1).alias("priority"))
+    late = found.where("col > 5").select("ref", F.lit("late").alias("reason"), F.lit(2).alias("priority"))
+    return suppression.held(found.select("ref"), large.unionByName(late)).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+# ranges and graphs
+
+@query("select a.owner, a.member as first, b.member as second from ranges a join ranges b on a.owner = b.owner and a.member < b.member and a.e > b.s and b.e > a.s", "ranges")
+def range_overlap(spark, sf_dir):
+    return ranges.overlaps(derive(spark, sf_dir, "ranges"))
+
+
+@query("""select owner, min(n) free from (select owner, unnest(range(1, 80)) n from (select distinct owner from ranges)) p
+where not exists (select 1 from ranges r where r.owner = p.owner and r.s <= n and n < r.e) group by owner""", "ranges")
+def range_next_free(spark, sf_dir):
+    return ranges.next_free(derive(spark, sf_dir, "ranges")).select("owner", F.col("free").cast("long").alias("free"))
+
+
+@query("""select distinct p.owner, p.n from (select l_orderkey as owner, cast(l_suppkey % 70 as int) n from lineitem) p join ranges r on r.owner = p.owner and r.s <= n and n < r.e""", "ranges")
+def range_points(spark, sf_dir):
+    points = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as owner", "cast(l_suppkey % 70 as int) as n")
+    return ranges.inside(points, derive(spark, sf_dir, "ranges"))
+
+
+@query("select owner, s, member from (select *, row_number() over (partition by owner, s order by member) k from ranges) where k > 1", "ranges")
+def unique_numbers(spark, sf_dir):
+    return ranges.repeated(derive(spark, sf_dir, "ranges"), ["owner", "s"], ["member"]).select("owner", "s", "member")
+
+
+@query("""/*with*/ r as (select src as node from links where src % 97 = 0 union select l.dst from r join links l on l.src = r.node) select node from r""", "links", recursive=True)
+def reachability(spark, sf_dir):
+    links = derive(spark, sf_dir, "links")
+    return reachable(links.where("src % 97 = 0").select(F.col("src").alias("node")), links)
+
+
+@query("""/*with*/ u as (select src a, dst b from links where src <> dst and src % 4 = 0 and dst % 3 = 0 union select dst, src from links where src <> dst and src % 4 = 0 and dst % 3 = 0),
+w as (select a, b from u union select w.a, u.b from w join u on u.a = w.b)
+select a node, least(a, min(b)) label from w group by a""", "links", recursive=True)
+def connected_sets(spark, sf_dir):
+    links = derive(spark, sf_dir, "links").where("src % 4 = 0 and dst % 3 = 0")
+    return connected(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+# scalar functions
+
+@query("""with w as (select distinct c_mktsegment n from customer), x as (select lower(n) || '_' || lower(n) || '_id' s, upper(n) || '_KIND' u from w)
+select s, split_part(s, '_', 1) || upper(substr(split_part(s, '_', 2), 1, 1)) || substr(split_part(s, '_', 2), 2) || 'Id' json_name,
+ upper(substr(u, 1, 1)) || lower(substr(split_part(u, '_', 1), 2)) || 'Kind' pascal, 'sha256:' || sha256(s) digest from x""")
+def name_styles(spark, sf_dir):
+    w = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("n")).distinct()
+    x = w.select(F.expr("lower(n) || '_' || lower(n) || '_id'").alias("s"), F.expr("upper(n) || '_KIND'").alias("u"))
+    return x.select("s", names.json_name("s").alias("json_name"), names.pascal_case("u").alias("pascal"), names.digest("s").alias("digest"))
+
+
+@query("select page_id, split_part(url, '://', 1) scheme, len(regexp_split_to_array(html, '\\r\\n|\\r|\\n')) lines from pages")
+def ref_schemes(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", names.scheme("url").alias("scheme"), F.size(names.log_lines("html")).cast("long").alias("lines"))

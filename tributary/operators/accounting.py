@@ -17,9 +17,11 @@ def distinct_lines(spans: DataFrame, by: list[str]) -> DataFrame:
 
 def totals(findings: DataFrame) -> DataFrame:
     """Counts by severity; a component's deletable lines count once, where it has a root."""
-    counts = findings.agg(F.count("*").alias("findings"), *[F.count_if(F.col("severity_rank") == i).alias(name) for i, name in enumerate(("allow", "warn", "deny"))])
-    lines = findings.where("root = 1").groupBy("component").agg(F.max("deletable").alias("lines")).agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("deletable_lines"))
-    return counts.join(lines)
+    names = ("allow", "warn", "deny")
+    each = findings.groupBy("component").agg(
+        F.count("*").alias("findings"), *[F.count_if(F.col("severity_rank") == i).alias(name) for i, name in enumerate(names)], F.max(F.when(F.col("root") == 1, F.col("deletable"))).alias("lines")
+    )
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("findings", *names)], F.coalesce(F.sum("lines"), F.lit(0)).alias("deletable_lines"))
 
 
 def cap(findings: DataFrame, most: int, order: list) -> DataFrame:
