@@ -26,7 +26,7 @@ select 'an' || (l_suppkey % 3) as analyzer, 'pkg' || (l_partkey % 50) || '/f' ||
 from lineitem"""),
     "settings": ("events", """
 select 'k' || user_id as key, case event_type when 'click' then 0 when 'view' then 1 when 'purchase' then 2 else 3 end as source_rank,
-       event_type as source, event_id as seq, cast(value as int) as value
+       event_type as source, event_id as seq, cast(floor(value) as int) as value
 from events"""),
     "analyzers": ("supplier", """
 select 'tool-' || (s_suppkey % 40) as name, '1.' || (s_suppkey % 7) as version, 'root' || (s_nationkey % 2) as target_root, s_nationkey as nation,
