@@ -71,7 +71,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 if node not in nodes_seen:
                     nodes_seen.add(node)
                     seen.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(nodes)), rows.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(nodes), pa.bool_()), rows.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names)
             if sum(map(len, seen)) > 4_000_000:
                 yield counted(seen)
                 seen = []
@@ -84,7 +84,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate(seen), return_counts=True)
         found, times = found[times >= _FREQUENT_PER_TASK], times[times >= _FREQUENT_PER_TASK]
-        return pa.RecordBatch.from_arrays([pa.array([False] * len(found)), pa.nulls(len(found), arrow), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([pa.array([False] * len(found), pa.bool_()), pa.nulls(len(found), arrow), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc boolean, doc_id {kind}, node long, n long")
 
