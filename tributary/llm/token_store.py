@@ -124,13 +124,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
             n, m = len(chunks), len(recipes)
             ids_column = rows.column("doc_id")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["chunk"] * n), pa.array(list(chunks), pa.binary()), pa.array(list(chunks.values()), pa.binary()), pa.nulls(n, ids_column.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary()))],
+                [pa.array(["chunk"] * n, pa.string()), pa.array(list(chunks), pa.binary()), pa.array(list(chunks.values()), pa.binary()), pa.nulls(n, ids_column.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary()))],
                 names,
             )
             keys = [struct.pack(">QQ", task, serial + i) for i in range(m)]  # the same if the task runs again
             serial += m
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["recipe"] * m), pa.array(keys, pa.binary()), pa.nulls(m, pa.binary()), ids_column, pa.array(sizes, pa.int64()), pa.array(recipes, pa.list_(pa.binary()))],
+                [pa.array(["recipe"] * m, pa.string()), pa.array(keys, pa.binary()), pa.nulls(m, pa.binary()), ids_column, pa.array(sizes, pa.int64()), pa.array(recipes, pa.list_(pa.binary()))],
                 names,
             )
 
