@@ -100,10 +100,10 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, tag: str, attributes: dict[str, str], keep_open: bool = True) -> None:
         element = Element(tag, attributes)
+        if keep_open and len(self.open) >= MOST_DEPTH:
+            self.open.pop()
         self.open[-1].children.append(element)
         if keep_open:
-            if len(self.open) >= MOST_DEPTH:
-                self.open.pop()
             self.open.append(element)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
