@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import table
+from tributary.llm.shared import Scratch, table
 from tributary.llm.shingles import pieces
 
 MIN_CHARS = 10
@@ -75,7 +75,9 @@ def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and the hashes of the lines that it loses."""
     keys = line_keys(docs, min_chars)
-    lost = keys.join(repeated_lines(keys, min_docs), "line").where(F.col("doc_id") > F.col("first_doc"))
+    # a written table, not an aggregate, beside the hot keys' exchange: else Spark doesn't split a skewed join
+    repeated = Scratch(docs.sparkSession, "line-dedup").save(repeated_lines(keys, min_docs), "repeated")
+    lost = keys.join(repeated, "line").where(F.col("doc_id") > F.col("first_doc"))
     return lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lost"))
 
 
