@@ -120,7 +120,9 @@ class Ledger:
 
     def findings(self, paths: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """doc_id, blob and the spans of the rules' present versions for every row of ``paths``."""
-        found = self.rows().groupBy("blob").agg(F.flatten(F.collect_list(self._current(rules))).alias("found"))
+        found = self.rows().groupBy("blob").agg(F.flatten(F.collect_list(self._current(rules))).alias("found")).where(F.size("found") > 0)
+        # a written table, not an aggregate, beside a blob that very many paths hold: else Spark doesn't split a skewed join
+        found = Scratch(self.spark, "secret-findings").save(found, "found")
         return paths.select("doc_id", address(F.col("text")).alias("blob")).join(found, "blob", "left").select("doc_id", "blob", F.sort_array(F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))).alias("found"))
 
     @staticmethod
