@@ -293,7 +293,7 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         lists = members.drop("label")
     reps = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     reps = scratch.save(reps, "components")
-    smallest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    smallest = scratch.save(reps.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")  # written, so that Spark splits the join
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known_labels = reps.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return known.join(known_labels, "node", "left").select(
