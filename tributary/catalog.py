@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names
-from tributary.operators import accounting, admission, merge, paths, ranges, routing, settings, suppression
+from tributary.operators import accounting, admission, bindings, merge, paths, ranges, routing, settings, suppression
 from tributary.plans.graph import connected, reachable
 from tributary.relations import derive, oracle
 
@@ -383,6 +383,73 @@ def connected_sets(spark, sf_dir):
     return connected(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+# binding facts
+
+_BINDINGS = """/*with*/ same as (select a.idx a, b.idx b from records a join records b on a.schema = b.schema and (a.schema_file = b.schema_file or suffix(a.schema_file, '/' || b.schema_file) or suffix(b.schema_file, '/' || a.schema_file))),
+near as (select a.idx a, b.idx b from records a join records b on a.role = 'fallback' and b.role = 'schema' and (a.schema_file = b.schema_file or suffix(a.schema_file, '/' || b.schema_file) or suffix(b.schema_file, '/' || a.schema_file))
+  and (a.scope = 'all' or b.kind not in ('service', 'rpc'))),
+binds as (select m.a, m.b from same m join records a on a.idx = m.a and a.role = 'consumer' join records b on b.idx = m.b and b.role = 'schema' and b.state = 'dead'
+  union select n.a, n.b from near n join records b on b.idx = n.b and b.state = 'dead'),
+graded as (select s.idx, s.component, s.schema_file, s.schema, bool_or(a.idx is not null) is_bound,
+  case when (coalesce(bool_or(a.cap is not null), false) and s.class_rank <> 0) or coalesce(bool_or(a.library), false) then 2 else s.class_rank end class_rank
+  from records s left join binds x on x.b = s.idx left join records a on a.idx = x.a where s.role = 'schema' and s.state = 'dead' group by s.idx, s.component, s.schema_file, s.schema, s.class_rank),
+impl as (select analyzer, symbol, min(idx) idx, min_by(state, idx) state, min_by(component, idx) component from records where role = 'implementer' group by analyzer, symbol),
+named as (select r.idx, r.role, r.state, r.component, i.idx first_idx, i.state first_state, i.component first_component from (select *, unnest(split(via_list, ',')) name from records) r left join impl i on i.analyzer = r.analyzer and i.symbol = r.name),
+members as (select s.component, s.idx, t.idx member, t.component member_component, t.state member_state from (select *, unnest(split(members_list, ',')) m from records where role = 'schema' and state = 'dead') s
+  join records t on t.role = 'schema' and t.schema = s.m and (s.schema_file = t.schema_file or suffix(s.schema_file, '/' || t.schema_file) or suffix(t.schema_file, '/' || s.schema_file))),
+implementing as (select i.idx, i.component, s.idx schema_idx, s.component schema_component, s.state schema_state from records i join same m on m.a = i.idx join records s on s.idx = m.b and s.role = 'schema' where i.role = 'implementer' and i.state = 'dead'),
+seeds as (select '#' || idx node from records where role = 'fallback' or state is null or (state = 'live' and not (role = 'consumer' and via_list is not null))
+  union select '#' || idx from named where role = 'consumer' and first_idx is null
+  union select component from graded where not is_bound
+  union select component from records i where role = 'implementer' and state = 'dead' and not exists (select 1 from implementing m where m.idx = i.idx)),
+arcs as (select component src, '#' || idx dst from records where state = 'dead' and role <> 'fallback'
+  union select '#' || first_idx, case role when 'consumer' then '#' || idx else component end from named where first_idx is not null and (role = 'consumer' or (role = 'implementer' and state = 'dead'))
+  union select '#' || b.a, r.component from binds b join records r on r.idx = b.b
+  union select '#' || member, component from members
+  union select '#' || schema_idx, component from implementing
+  union select '#' || u.idx, s.component from (select *, unnest(split(uses_list, ',')) used from records where role = 'schema') u join records s on s.schema = u.used and s.role = 'schema' and s.state = 'dead'),
+reached as (select node from seeds union select a.dst from reached r join arcs a on a.src = r.node)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = {name: F.split(f"{name}_list", ",") for name in ("via", "uses", "members")}
+    return derive(spark, sf_dir, "records").withColumns(lists).drop("via_list", "uses_list", "members_list")
+
+
+@query(f"{_BINDINGS} select node component from reached where node not like '#%'", "records", recursive=True)
+def binding_dropped(spark, sf_dir):
+    """Components that the rules of schemas, implementers and recursive reads drop."""
+    return bindings.dropped(bindings.live_nodes(_records(spark, sf_dir)))
+
+
+@query(f"""{_BINDINGS} select idx, 'schema' as role, component, class_rank from graded where component not in (select node from reached)
+union all select idx, role, component, class_rank from records where role = 'implementer' and state = 'dead' and component not in (select node from reached)""", "records", recursive=True)
+def binding_promoted(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    return bindings.promoted(records, bindings.live_nodes(records))
+
+
+@query(f"{_BINDINGS} select distinct component from graded where class_rank > 1", "records", recursive=True)
+def binding_withheld(spark, sf_dir):
+    """Components that a minimum confidence of probable holds back."""
+    return bindings.withheld(_records(spark, sf_dir), 1)
+
+
+@query(f"""{_BINDINGS}, pairs as (select g.component, n.first_component other from named n join binds b on b.a = n.idx join graded g on g.idx = b.b
+  where n.role = 'consumer' and n.first_state = 'dead' and '#' || n.idx not in (select node from reached)
+union select schema_component, component from implementing where schema_state = 'dead'
+union select member_component, component from members where member_state = 'dead')
+select distinct component, other from pairs where component <> other and component not in (select node from reached) and other not in (select node from reached)""", "records", recursive=True)
+def binding_joins(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    return bindings.joins(records, bindings.live_nodes(records))
+
+
+@query(f"{_BINDINGS} select schema_file from graded group by schema_file having not bool_or(is_bound)", "records", recursive=True)
+def unbound_schema_notes(spark, sf_dir):
+    return bindings.unbound_files(_records(spark, sf_dir))
+
+
 # scalar functions
 
 @query("""with w as (select distinct c_mktsegment n from customer), x as (select lower(n) || '_' || lower(n) || '_id' s, upper(n) || '_KIND' u from w)

@@ -60,8 +60,8 @@ def _others(evaluations: DataFrame) -> DataFrame:
     return pairs.groupBy("edge", "side").agg(F.max("live").alias("other_live"), F.max("dead").alias("other_dead"))
 
 
-def dropped_components(evaluations: DataFrame) -> DataFrame:
-    """Components dropped by the pair rule, as reachability.
+def pair_graph(evaluations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds (node) and arcs (src, dst) of the pair rule; nodes other than components begin with a NUL.
 
     A dead evaluation's component is a seed if another side of its edge is live, or none
     is dead. If a component falls, so do those whose dead evaluations lean on it. Arcs go
@@ -77,7 +77,12 @@ def dropped_components(evaluations: DataFrame) -> DataFrame:
     over = across.select(F.concat(F.lit("\0from"), side(F.col("edge"), F.col("side"))).alias("src"), F.concat(F.lit("\0to"), side(F.col("edge"), F.col("other"))).alias("dst"))
     up = up.withColumn("dst", F.concat(F.lit("\0from"), "dst"))
     down = dead.select(F.concat(F.lit("\0to"), side(F.col("edge"), F.col("side"))).alias("src"), F.col("component").alias("dst"))
-    found = reachable(seeds, up.unionByName(over).unionByName(down))
+    return seeds, up.unionByName(over).unionByName(down)
+
+
+def dropped_components(evaluations: DataFrame) -> DataFrame:
+    """Components dropped by the pair rule, as reachability."""
+    found = reachable(*pair_graph(evaluations))
     return found.where(~F.col("node").startswith("\0")).select(F.col("node").alias("component"))
 
 

@@ -36,6 +36,22 @@ from supplier"""),
 select page_id as file_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages"""),
     "ranges": ("lineitem", """
 select l_orderkey as owner, l_linenumber as member, cast(l_partkey % 60 as int) as s, cast(l_partkey % 60 + cast(l_quantity as int) % 9 + 1 as int) as e from lineitem"""),
+    "records": ("orders", """
+with n as (select o_orderkey as idx, o_orderkey % 10 as r, cast(floor(o_orderkey / 10) as bigint) as q, o_totalprice as price, o_custkey as c from orders)
+select idx, case when r between 4 and 7 then 'wire' else 'go' end as analyzer,
+       case when r between 4 and 7 then 'schema' when r = 8 then 'implementer' when r = 9 and q % 50 = 0 then 'fallback' else 'consumer' end as role,
+       case when r between 4 and 7 then case when price > 350000 then 'live' else 'dead' end when r = 8 then 'dead'
+            when q % 9 = 0 then 'live' when q % 31 = 0 then null else 'unreferenced' end as state,
+       case when (r < 4 or r = 9) and q % 28 = 5 then 'x' else 'm' end || case when r between 4 and 7 then q * 4 + r - 4 when r = 8 then q * 4 + 3 when r < 4 then q * 4 + r else q * 4 end as schema,
+       case when r % 2 = 0 then 'proto/' else '' end || 'p' || (q % 40) || '/f' || (q % 7) || '.proto' as schema_file,
+       case when r = 8 then 'i' || q else 's' || idx end as symbol,
+       case when r between 4 and 7 then 'wire/c-' || (q * 4 + r - 4) when r = 8 then 'go/c-' || q else 'go/o-' || idx end as component,
+       case when r = 7 then 'rpc' else 'message' end as kind, case when q % 100 = 0 then 'all' else 'types' end as scope,
+       cast(q % 3 as int) as class_rank, case when c % 11 = 0 then 'strict' end as cap, c % 13 = 0 as library,
+       case when r = 3 then 'i' || (q + case when q % 8 = 0 then 100000000 else 0 end) when r = 8 and q % 3 = 0 then 'i' || (q - 1) end as via_list,
+       case when r between 4 and 7 and q % 5 = 0 then 'm' || cast(floor((q * 4 + r - 4) / 2) as bigint) end as uses_list,
+       case when r = 4 then 'm' || (q * 4 + 1) || ',m' || (q * 4 + 2) end as members_list
+from n"""),
     "links": ("lineitem", """
 select distinct l_partkey % 1500 as src, l_suppkey * 17 % 1500 as dst from lineitem where l_linenumber = 1 and l_orderkey % 9 = 0"""),
 }
