@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names
-from tributary.operators import accounting, admission, bindings, merge, paths, ranges, routing, settings, suppression
+from tributary.operators import accounting, admission, bindings, merge, paths, ranges, routing, schema_rules, settings, suppression
 from tributary.plans.graph import connected, reachable
 from tributary.relations import derive, oracle
+from tributary.sinks import outputs
+from tributary.sources import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -450,6 +452,98 @@ def unbound_schema_notes(spark, sf_dir):
     return bindings.unbound_files(_records(spark, sf_dir))
 
 
+# declarations of schema files
+
+@query("""/*with*/ f as (select distinct path from findings), m as (select 'pkg' || i as dir, 'pkg' || i || '/f' || i || '.go' as out_of, i from range(0, 50, 3) t(i)),
+h as (select f.path, bool_or(i % 2 = 0) said from f join m on starts_with(f.path, m.dir || '/') group by f.path)
+select f.path, coalesce(h.said, true) built from f left join h using (path)""", "findings")
+def module_files(spark, sf_dir):
+    """Files under modules that include their own directory (even) or exclude it (odd)."""
+    modules = spark.range(0, 50, 3).selectExpr("'pkg' || id as dir", "array('pkg' || id) as includes", "case when id % 2 = 1 then array('pkg' || id) end as excludes")
+    return schema_rules.built(derive(spark, sf_dir, "findings").select("path").distinct(), modules)
+
+
+_UPSTREAM = [("pkg1*/*.go", "DS1", False), ("f*.go", "DS", True)]
+
+
+@query("""/*with*/ f as (select distinct path, case when component like '%7' then 'DS.x' when component like '%8' then 'DS1' else 'DSX' end package from findings)
+select path, package, case when package = 'DS1' and regexp_matches(path, '^pkg1[^/]*/[^/]*[.]go$') then path when package = 'DS.x' then split_part(path, '/', 2) end copy_of from f""", "findings")
+def vendored_copies(spark, sf_dir):
+    package = F.expr("case when component like '%7' then 'DS.x' when component like '%8' then 'DS1' else 'DSX' end")
+    return schema_rules.vendored(derive(spark, sf_dir, "findings").select("path", package.alias("package")).distinct(), _UPSTREAM)
+
+
+@query("""/*with*/ d as (select distinct src as ref, case when src % 97 = 0 then 'service' when src % 5 = 0 then 'rpc' else 'message' end kind, src % 194 = 0 http, src % 11 = 0 unknown_generation, src % 13 = 0 explicit_json from links),
+r as (select ref from d where kind = 'service' and http union select l.dst from r join links l on l.src = r.ref and l.dst % 3 = 0)
+select ref, case when kind in ('service', 'rpc') or unknown_generation or explicit_json or ref in (select ref from r) then 2 else 1 end class_rank from d""", "links", recursive=True)
+def declaration_classes(spark, sf_dir):
+    links = derive(spark, sf_dir, "links")
+    declared = links.select(F.col("src").alias("ref")).distinct().selectExpr(
+        "ref", "case when ref % 97 = 0 then 'service' when ref % 5 = 0 then 'rpc' else 'message' end as kind",
+        "ref % 194 = 0 as http", "ref % 11 = 0 as unknown_generation", "ref % 13 = 0 as explicit_json")
+    reached = schema_rules.http_reached(declared, links.where("dst % 3 = 0"))
+    return schema_rules.classified(declared, reached, closed=False).select("ref", "class_rank")
+
+
+@query("""with v as (select l_orderkey enum, l_linenumber place, min(l_partkey % 9) number, l_orderkey || '.' || l_linenumber ref, l_orderkey % 2 = 0 open from lineitem group by l_orderkey, l_linenumber),
+h as (select ref, case when open and place = min(place) over (partition by enum) then 'default-value' when count(*) over (partition by enum, number) > 1 then 'shared-number' end reason from v)
+select ref, reason from h where reason is not null""")
+def enum_exemptions(spark, sf_dir):
+    """First reason wins for a value that both rules hold."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.expr("l_partkey % 9")).alias("number"))
+    values = lines.selectExpr("l_orderkey as enum", "l_linenumber as place", "number", "l_orderkey || '.' || l_linenumber as ref", "l_orderkey % 2 = 0 as open")
+    return suppression.held(values.select("ref"), schema_rules.enum_holds(values)).where("reason is not null")
+
+
+@query("""with d as (select l_orderkey || '/' || l_linenumber ref, l_orderkey, l_linenumber from lineitem)
+select ref from d where exists (select 1 from orders where o_orderkey = l_orderkey and o_custkey % 7 = l_linenumber)""")
+def unresolved_type_holds(spark, sf_dir):
+    declared = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey || '/' || l_linenumber as ref", "array(l_orderkey, cast(l_linenumber as bigint)) as path")
+    types = _read(spark, sf_dir, "orders").selectExpr("array(o_orderkey, o_custkey % 7, 6L) as path")
+    return schema_rules.unresolved_holds(declared, types).select("ref")
+
+
+# documents and renderings
+
+@query("""select 'e' || o_orderkey as edge, 'provides' as side, 'proto://p#S' || o_custkey as symbol from orders where o_custkey % 3 = 0
+union all select 'e' || o_orderkey, 'used_by', 'proto://q#S' || o_orderkey from orders where o_orderkey % 5 = 0""")
+def edges_scan(spark, sf_dir):
+    """Sides of a scheme from edges documents in JSON."""
+    sides = F.expr("""to_json(named_struct('edges', map('e' || o_orderkey, map('provides', case when o_custkey % 3 = 0 then 'proto://p#S' else 'go://p#S' end || o_custkey,
+        'used_by', case when o_orderkey % 5 = 0 then 'proto://q#S' else 'ts://q#S' end || o_orderkey))))""")
+    return documents.edges(_read(spark, sf_dir, "orders").select(sides.alias("content")), "proto")
+
+
+@query("select 'part.' || k as key, case k when 'size' then cast(p_size as varchar) when 'brand' then p_brand end as value, count(*) n from part, (values ('size'), ('brand')) t(k) group by all")
+def settings_scan(spark, sf_dir):
+    """Dotted settings of nested documents; a key that no document states gives no row."""
+    stated = _read(spark, sf_dir, "part").selectExpr("to_json(named_struct('part', named_struct('size', p_size, 'brand', p_brand))) as content")
+    return documents.settings(stated, ["part.size", "part.brand", "part.none"], 1, "repository").groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+@query("""select path, line, path || ':' || line || ':' || col || ': ' || case severity_rank when 0 then 'allow' when 1 then 'warn' else 'deny' end || ' ' || code || ' unused ' || ref as value from findings""", "findings")
+def text_rendering(spark, sf_dir):
+    return outputs.finding_lines(_rendered(spark, sf_dir)).select("path", "line", "value")
+
+
+@query("""select path, line, '::' || case severity_rank when 2 then 'error' else 'warning' end || ' file=' || path || ',line=' || line || ',col=' || col || ',title=' || code || '::unused ' || ref as value from findings""", "findings")
+def annotation_rendering(spark, sf_dir):
+    return outputs.annotation_lines(_rendered(spark, sf_dir)).select("path", "line", "value")
+
+
+@query("""/*with*/ r as (select *, row_number() over (partition by component order by path, line, col, code, ref, analyzer) k, count(*) over (partition by component) n from findings)
+select component, code as rule, 'unused ' || ref as message, n - 1 as related from r where k = 1""", "findings")
+def sarif_rendering(spark, sf_dir):
+    """A result per component, read back from its JSON: the first finding and how many places relate to it."""
+    read = outputs.sarif_results(_rendered(spark, sf_dir)).select("component", F.from_json("result", "ruleId string, message struct<text: string>, relatedLocations array<struct<physicalLocation: string>>").alias("r"))
+    return read.select("component", F.col("r.ruleId").alias("rule"), F.col("r.message.text").alias("message"), F.size("r.relatedLocations").cast("long").alias("related"))
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity = F.expr("case severity_rank when 0 then 'allow' when 1 then 'warn' else 'deny' end")
+    return derive(spark, sf_dir, "findings").withColumns({"severity": severity, "message": F.concat(F.lit("unused "), "ref")})
+
+
 # scalar functions
 
 @query("""with w as (select distinct c_mktsegment n from customer), x as (select lower(n) || '_' || lower(n) || '_id' s, upper(n) || '_KIND' u from w)
