@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import Scratch, table
+from tributary.llm.shared import Scratch, in_batches, table
 
 LOSS_ROLE = "assistant"
 PROBE = "\\### Assistant: </turn> ok"
@@ -109,7 +109,7 @@ def conversations(rows: DataFrame, loss_role: str = LOSS_ROLE, tokenizer: str |
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(paths, pa.list_(fields))], ["conv_id", "nodes"])
 
     struct = ", ".join(x.replace(" ", ": ", 1) for x in _NODE.split(", "))
-    return grouped.mapInArrow(run, f"conv_id {kind}, nodes array<struct<{struct}>>")
+    return in_batches(grouped, run, f"conv_id {kind}, nodes array<struct<{struct}>>")
 
 
 def _joined(intervals: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -161,7 +161,7 @@ def _ordered(df: DataFrame, scratch: Scratch, name: str, by: list[str]) -> DataF
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
-    return scratch.save(dealt.mapInArrow(_local, f"{schema}, local_start long, local_row long"), name)
+    return scratch.save(in_batches(dealt, _local, f"{schema}, local_start long, local_row long"), name)
 
 
 def write_tree(rows: DataFrame, path: str, loss_role: str = LOSS_ROLE, tokenizer: str | None = None) -> None:
@@ -187,7 +187,7 @@ def write_tree(rows: DataFrame, path: str, loss_role: str = LOSS_ROLE, tokenizer
     steps = convs.select("rank", F.posexplode("path").alias("at", "node")).join(placed.select("node", "start", "end", "first"), "node")
     paths = steps.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("at", "node", "start", "end", "first"))).alias("path"))
     paths = scratch.save(paths, "paths")
-    attends = paths.mapInArrow(_attending, "node binary, attends array<struct<start: long, end: long>>")
+    attends = in_batches(paths, _attending, "node binary, attends array<struct<start: long, end: long>>")
     placed.join(attends, "node").drop("first").write.parquet(f"{path}/nodes")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def write_tree(rows: DataFrame, path: str, loss_role: str = LOSS_ROLE, tokenizer
             )
 
     kind = rows.schema["conv_id"].dataType.simpleString()
-    convs.select("conv_id", "rank").join(paths, "rank").select("conv_id", "path").mapInArrow(leaves, f"conv_id {kind}, path array<binary>, attends array<struct<start: long, end: long>>").write.parquet(f"{path}/leaves")
+    in_batches(convs.select("conv_id", "rank").join(paths, "rank").select("conv_id", "path"), leaves, f"conv_id {kind}, path array<binary>, attends array<struct<start: long, end: long>>").write.parquet(f"{path}/leaves")
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
@@ -230,7 +230,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return parts.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_batches(parts, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

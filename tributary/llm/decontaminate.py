@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.shared import table
+from tributary.llm.shared import in_batches, table
 from tributary.llm.shingles import U64, WIDTH, mix, one_text, pieces, short_run, windows, words
 
 CONTAINMENT = 75  # per cent of an item's shingles
@@ -145,7 +145,7 @@ def search(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT, block_
                         schema.names,
                     )
 
-        part = source.mapInArrow(run, schema)
+        part = in_batches(source, run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -162,7 +162,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = CONTAINM
                 clean[list(index.matches(data, offsets))] = False
                 yield rows if clean.all() else rows.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = in_batches(docs, run, schema)
     return docs
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import table
+from tributary.llm.shared import in_batches, table
 
 MOST_DEPTH = 256
 MOST_COLUMNS = 1000  # the largest colspan that HTML allows
@@ -430,7 +430,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
                 texts = [page_text(x.as_py()) for x in part.column(html)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return source.mapInArrow(run, f"{kinds}, text string")
+    return in_batches(source, run, f"{kinds}, text string")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

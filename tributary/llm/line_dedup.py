@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import Scratch, table
+from tributary.llm.shared import Scratch, in_batches, table
 from tributary.llm.shingles import pieces
 
 MIN_CHARS = 10
@@ -55,7 +55,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(found, pa.binary())], ["doc_id", "line"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line binary")
+    return in_batches(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), run, f"doc_id {kind}, line binary")
 
 
 def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -105,7 +105,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, text string, n_lines long, n_dropped long")
+    return in_batches(joined, run, f"doc_id {kind}, text string, n_lines long, n_dropped long")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.graph import components
-from tributary.llm.shared import Scratch, table
+from tributary.llm.shared import Scratch, in_batches, table
 from tributary.llm.shingles import U64, document_sets, mix, one_text, pieces, powers, set_hash
 
 PERCENT = 75
@@ -86,7 +86,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
         found, times = found[times >= _FREQUENT_PER_TASK], times[times >= _FREQUENT_PER_TASK]
         return pa.RecordBatch.from_arrays([pa.array([False] * len(found), pa.bool_()), pa.nulls(len(found), arrow), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc boolean, doc_id {kind}, node long, n long")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc boolean, doc_id {kind}, node long, n long")
 
 
 class Frequent:
@@ -202,7 +202,7 @@ def postings(docs: DataFrame, frequent: Frequent, percent: int = PERCENT) -> Dat
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found, nodes, sizes, spots)], ["sig", "node", "n", "spot"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, n long, spot long")
+    return in_batches(docs.select("text"), run, "sig long, node long, n long, spot long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int =
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*linked, strict=True)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return in_batches(both, run, "a long, b long")
 
 
 def frequent_shingles(rows: DataFrame, entries: int = FREQUENT_ENTRIES) -> Frequent:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.shared import Scratch, table
+from tributary.llm.shared import Scratch, in_batches, table
 from tributary.llm.shingles import SPACE, pieces, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_lines")
@@ -102,7 +102,7 @@ def with_counts(docs: DataFrame, keep: list[str], text: str = "text", into: str
             struct = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], list(COUNTS))
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], struct], [*keep, into])
 
-    return source.mapInArrow(counted, schema)
+    return in_batches(source, counted, schema)
 
 
 def features(counts: str = "counts") -> dict[str, Column]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.pieces_cache import piece_cache
-from tributary.llm.shared import Scratch, table
+from tributary.llm.shared import Scratch, in_batches, table
 from tributary.llm.shingles import U64, mix, pieces
 
 END_ID = 2
@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                 names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind string, key binary, payload binary, doc_id {kind}, n_tokens long, hashes array<binary>")
+    return in_batches(docs.select("doc_id", "text"), run, f"kind string, key binary, payload binary, doc_id {kind}, n_tokens long, hashes array<binary>")
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     recipes = split.where("kind = 'recipe'").select("doc_id", "n_tokens", "hashes", "key")
     ordered = recipes.repartitionByRange(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("part", F.spark_partition_id())
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    placed = ordered.mapInArrow(_placed, f"doc_id {kind}, local_start long, n_tokens long, chunks array<binary>, root binary, part int")
+    placed = in_batches(ordered, _placed, f"doc_id {kind}, local_start long, n_tokens long, chunks array<binary>, root binary, part int")
     local = scratch.save(placed, "local", partition_by=["part"])
     totals = local.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
@@ -265,12 +265,12 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     verify_store(spark, path)
     recipes = read_recipes(spark, path)
-    sums = read_chunks(spark, path).mapInArrow(_checked, "key binary, n long, crc long")
+    sums = in_batches(read_chunks(spark, path), _checked, "key binary, n long, crc long")
     used = recipes.select("start", F.posexplode("chunks").alias("at", "key"))
     parts = used.join(sums, "key").groupBy("start").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
     joined = recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "chunks", "root", "parts")
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_folded, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return in_batches(joined, _folded, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -285,7 +285,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.concatenate([unpack(p["payload"]) for p in parts]).astype(np.int64) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return recipes.join(parts, "start").select("doc_id", "start", "parts").mapInArrow(run, f"doc_id {kind}, start long, ids array<long>")
+    return in_batches(recipes.join(parts, "start").select("doc_id", "start", "parts"), run, f"doc_id {kind}, start long, ids array<long>")
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
