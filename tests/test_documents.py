@@ -39,6 +39,16 @@ def test_absent_and_refused(spark, tmp_path):
     assert [(r.path.rsplit("/")[-1], r.reason) for r in docs.refusals(docs.documents(spark, str(tmp_path))).collect()] == [("bad.json", "not JSON")]
 
 
+def test_repeated_keys_and_trailing_text(spark):
+    cases = {
+        '{"a": 1, "a": 2}': "repeated key", '{"a": {"b": 1, "b": 2}}': "repeated key", '{"s": [{"k": 1, "o": 2, "k": 3}]}': "repeated key", '{"a": 1, "\\u0061": 2}': "repeated key",
+        '{"a": 1} x': "not JSON", "1}, {": "not JSON", "1], [2": "not JSON", '1, "x": 2': "not JSON", '{"a": [1, 2}': "not JSON", '{"a": 1,}': "not JSON", "": "not JSON",
+        '{"a": 1, "A": 2}': None, '{"a": {"a": {"a": 1}}}': None, '[{"a": 1}, {"a": 2}]': None, ' {"a": "}, {"}\n': None, "{}": None,
+    }
+    rows = spark.createDataFrame([(c, len(c), c) for c in cases], docs.DOCUMENT)
+    assert {r.path: r.reason for r in docs.refusals(rows).collect()} == {c: reason for c, reason in cases.items() if reason}
+
+
 def test_edges_and_settings(spark):
     text = json.dumps({"edges": {"e2": {"provides": "proto://a#B", "used_by": "go://x"}, "e1": {"used_by": "proto://c"}}})
     found = docs.edges(spark.createDataFrame([(text,)], "content string"), "proto").collect()

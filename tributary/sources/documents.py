@@ -2,7 +2,7 @@
 
 Documents come whole from Spark's binary-file source, so a folder of a hundred
 thousand reports is read by all executors; a missing path is an empty relation.
-A document over MOST_BYTES, or one that isn't JSON, becomes a refusal with its reason.
+A document over MOST_BYTES, one that isn't JSON or one that repeats a key becomes a refusal with its reason.
 """
 
 from __future__ import annotations
@@ -43,8 +43,15 @@ def documents(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def refusals(docs: DataFrame) -> DataFrame:
-    """path, reason of documents that can't be read."""
-    reason = F.when(F.col("content").isNull(), "too large").when(F.expr("try_parse_json(content)").isNull(), "not JSON")
+    """path, reason of documents that can't be read.
+
+    A document is one value, alone inside an object and inside an array: what closes
+    one of these early doesn't fit the other. A variant holds no key of an object
+    twice, so a well-formed document that becomes none repeats a key, at any depth.
+    """
+    alone = F.expr("from_json(concat('{\"d\":', content, '}'), 'd string').d").isNotNull() & F.expr("from_json(concat('[', content, ']'), 'array<string>')").isNotNull()
+    parsed = F.expr("try_parse_json(content)").isNotNull()
+    reason = F.when(F.col("content").isNull(), "too large").when(~alone, "not JSON").when(~parsed, "repeated key")
     return docs.select("path", reason.alias("reason")).where("reason is not null")
 
 
