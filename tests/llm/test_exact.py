@@ -90,6 +90,16 @@ def test_ngram_join(spark, monkeypatch, floors):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in components(texts).values()})
 
 
+def test_repeated_values():
+    from tributary.llm.ngram_join import repeated
+
+    for size, values in ((0, 1), (1, 1), (2, 1), (50, 1), (500, 40), (500, 10_000)):
+        x = np.random.default_rng(size).integers(0, values, size).astype(np.uint64)
+        found, times = np.unique(x, return_counts=True)
+        got, counted = repeated(x.copy())
+        assert got.tolist() == found[times > 1].tolist() and counted.tolist() == times[times > 1].tolist()
+
+
 def test_line_dedup(spark):
     from tributary.llm.line_dedup import dedup_lines
 

@@ -50,7 +50,15 @@ FREQUENT_ENTRIES = 1 << 20
 _FILTER_BITS = 22
 _SMALL = U64(0xA0761D6478BD642F)
 STAR_ROUNDS = 2
-_FREQUENT_PER_TASK = 2  # a task reports shingles of so many of its texts
+
+
+def repeated(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur twice or more, and how often; sorts ``shingles`` in place and copies only those."""
+    shingles.sort()
+    same = np.zeros(len(shingles) + 1, dtype=bool)  # whether a value equals the one before
+    same[1:-1] = shingles[1:] == shingles[:-1]
+    first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+    return shingles[first], last - first + 1
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -82,8 +90,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
-        found, times = np.unique(np.concatenate(seen), return_counts=True)
-        found, times = found[times >= _FREQUENT_PER_TASK], times[times >= _FREQUENT_PER_TASK]
+        found, times = repeated(np.concatenate(seen))
         return pa.RecordBatch.from_arrays([pa.array([False] * len(found), pa.bool_()), pa.nulls(len(found), arrow), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
     return in_batches(docs.select("doc_id", "text"), run, f"doc boolean, doc_id {kind}, node long, n long")
