@@ -193,6 +193,22 @@ def test_token_store(spark, tmp_path):
     assert s.crc_join(zlib.crc32(b"ab"), zlib.crc32(b"cde"), 3) == zlib.crc32(b"abcde")
 
 
+def test_pieces_end_with_their_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tributary.llm.pieces_cache import PieceCache
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    r = random.Random(3)
+    texts = ["word.\n\n", "next", "", "a  ", "", "b\t\t", "\n\n", "\n", "x \r\n"] + ["".join(r.choice(["a", "B.", "'s", " ", "\n", "\t", "7", "É"]) for _ in range(r.randrange(9))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    ids, first = PieceCache(path).encode(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        assert ids[a:b].tolist() == model.encode(t, add_special_tokens=False).ids
+
+
 def test_mixing(spark):
     from tributary.llm import mixing
 

@@ -106,8 +106,9 @@ class PieceCache:
         """Where pieces start; first: where texts start."""
         space = SPACE[data]
         cut = np.zeros(len(data), dtype=bool)
+        cut[:-1] = space[:-1] & ~space[1:]
+        cut[first[first > 0] - 1] = False  # a text's last byte: what follows is another text's
         cut[first] = True
-        cut[:-1] |= space[:-1] & ~space[1:]
         cut[1:] |= space[1:] & ~space[:-1]
         cut[1:] |= space[:-1] & ~space[1:] & (data[:-1] != 0x20)
         cut[1:] |= _LETTER[data[:-1]] & _PUNCT[data[1:]]
