@@ -285,6 +285,28 @@ def test_html():
     assert page_text("<p>x<p>x") == "x\n\nx" and page_text("<b><!-- x -->text") == "text"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><colgroup><col><tr><td>x</table>", "x"),
+        ("<table><colgroup><col><tbody><tr><td>x<td>y</table>", "x | y"),
+        ("<table><colgroup>up<col><tr><td>x</table>", "up\n\nx"),
+        ("<table><tr><form><td>x</td></form></tr></table>z", "x\n\nz"),
+        ("<table><tbody><form><tr><td>x<td>y</tr></form></tbody></table>", "x | y"),
+        ("a<table><tr>b<td>x</tr>c<tbody>d<tr><b>e</b><td>y</table>f", "abcde\n\nx\ny\n\nf"),
+        ("<table><tr hidden>b<td>x</table>", "b"),
+        ("<table><tr><td>x<table><tr>in<td>y</table></table>", "xin\n\ny"),
+        ("<table><tr><td>x</td><table><tr><td>y</table>", "x\n\ny"),
+        ("<table><tbody><tr><td>x<tbody><caption>c</caption></table>", "c\nx"),
+        ("<table><tbody><div>d<tr><td>x</table>", "d\n\nx"),
+    ],
+)
+def test_html_tables(page, text):
+    from tributary.llm.html_text import page_text
+
+    assert page_text(page) == text
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

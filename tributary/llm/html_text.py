@@ -56,11 +56,15 @@ IMPLIED_END = {
     "thead": (frozenset("thead tbody tfoot tr td th caption".split()), frozenset(["table"])),
     "tbody": (frozenset("thead tbody tfoot tr td th caption".split()), frozenset(["table"])),
     "tfoot": (frozenset("thead tbody tfoot tr td th caption".split()), frozenset(["table"])),
-    "caption": (frozenset("tr td th".split()), frozenset(["table"])),
+    "caption": (frozenset("thead tbody tfoot tr td th caption".split()), frozenset(["table"])),
 }
 #: an end tag doesn't reach through these to an element outside them
 SCOPE = frozenset("table td th caption html template".split())
 ROW_GROUPS = frozenset("thead tbody tfoot".split())
+#: elements that hold rows and cells only, the tags that open a part of a table, and all that stays where it is in one
+TABLE_PARTS = ROW_GROUPS | {"table", "tr"}
+STRUCTURE = ROW_GROUPS | frozenset("caption colgroup tr td th".split())
+IN_TABLE = STRUCTURE | frozenset("col form script style template".split())
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _NEVER = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
@@ -102,10 +106,29 @@ class TreeBuilder(HTMLParser):
         element = Element(tag, attributes)
         if keep_open and len(self.open) >= MOST_DEPTH:
             self.open.pop()
-        self.open[-1].children.append(element)
+        self._insert(element)
         if keep_open:
             self.open.append(element)
 
+    def _context(self) -> int:
+        """The nearest open part of a table, cell or caption; 0 if there is none."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in TABLE_PARTS or self.open[i].tag in SCOPE:
+                return i
+        return 0
+
+    def _insert(self, node: Element | str) -> None:
+        """Add to the open element; what has no place in a table goes before the table."""
+        at = len(self.open) - 1
+        if self.open[at].tag in TABLE_PARTS and (node.strip() if isinstance(node, str) else node.tag not in IN_TABLE):
+            while at and self.open[at].tag != "table":
+                at = at - 1 if self.open[at].tag in TABLE_PARTS else 0
+            if at:
+                outside = self.open[at - 1].children  # an open table is the last of them
+                outside.insert(len(outside) - 1, node)
+                return
+        self.open[-1].children.append(node)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         attributes = {k: v or "" for k, v in reversed(attrs)}
         if tag in ("html", "body"):
@@ -114,15 +137,23 @@ class TreeBuilder(HTMLParser):
                 return
         elif tag not in UNSEEN and len(self.open) == 2 and self.open[1].tag == "head":
             self._pop_to(1)  # content ends the head
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
         if tag in CLOSES_P:
             self._close(frozenset(["p"]), SCOPE | {"button"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self._pop_to(len(self.open) - 1)
         if tag in IMPLIED_END:
             self._close(*IMPLIED_END[tag])
+        if tag in STRUCTURE or tag == "table":
+            at = self._context()
+            if self.open[at].tag in TABLE_PARTS:
+                self._pop_to(at + 1)  # stray elements end where the table goes on
+                if tag == "table":  # directly in another: that one ends
+                    self._close(frozenset(TABLE_PARTS), SCOPE - {"table"})
         if tag in ("td", "th") and self.open[-1].tag != "tr" and any(e.tag == "table" for e in self.open):
             self._push("tr", {})
-        self._push(tag, attributes, tag not in VOID)
+        self._push(tag, attributes, tag not in VOID and not (tag == "form" and self.open[-1].tag in TABLE_PARTS))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -143,7 +174,9 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if len(self.open) == 2 and self.open[1].tag == "head" and data.strip():
             self._pop_to(1)
-        self.open[-1].children.append(data)
+        if self.open[-1].tag == "colgroup" and data.strip():
+            self.open.pop()
+        self._insert(data)
 
 
 def parse(page: str) -> Element:
