@@ -307,6 +307,27 @@ def test_html_tables(page, text):
     assert page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"),
+        ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"),
+        ("<math><mtext>if <b>so</b></mtext></math> end", "if so end"),
+        ("a<svg/>b<math/>c", "abc"),
+        ("<p>a <svg><title>t</title><path/><text>one<tspan>two</tspan></text><text>three</text>no</svg> b</p>c", "a onetwo three b\n\nc"),
+        ("<svg><defs><text>no</text></defs><desc>no</desc><foreignObject><p>yes</p></foreignObject><g/><text>t</text></svg>", "yes\n\nt"),
+        ("<div><svg><path d='x'><p>after", "after"),
+        ("<svg><svg><g><p>after", "after"),
+        ("<div/>x<desc>y</desc><text>z</text>", "xyz"),
+        ("<table><tr><svg><text>s</text></svg><td>x</table>", "s\n\nx"),
+    ],
+)
+def test_html_svg_and_math(page, text):
+    from tributary.llm.html_text import page_text
+
+    assert page_text(page) == text
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -6,7 +6,8 @@ headings, lists and tables, list items with their marks and indents, preformatte
 text as it is, and table cells padded to aligned columns.
 
 Visibility: nothing of head, script, style, template, noscript and other elements without
-text of their own is shown, nor elements with the ``hidden`` attribute, with ``display: none`` or
+text of their own is shown, nor svg but for its ``text`` and ``foreignObject``, nor the
+definitions, descriptions and annotations in svg and math, nor elements with the ``hidden`` attribute, with ``display: none`` or
 ``visibility: hidden`` in their style (``visibility: visible`` inside shows again),
 closed ``details`` but for the summary, closed ``dialog``, and hidden inputs. Comments
 are never text.
@@ -36,7 +37,7 @@ MOST_COLUMNS = 1000  # the largest colspan that HTML allows
 
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist base link meta title param source track area".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist base link meta title param source track area".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr td th thead tbody tfoot caption".split()
@@ -65,6 +66,15 @@ ROW_GROUPS = frozenset("thead tbody tfoot".split())
 TABLE_PARTS = ROW_GROUPS | {"table", "tr"}
 STRUCTURE = ROW_GROUPS | frozenset("caption colgroup tr td th".split())
 IN_TABLE = STRUCTURE | frozenset("col form script style template".split())
+#: in svg and math: what is never drawn in its place, and where HTML goes on
+FOREIGN_UNSEEN = frozenset("defs metadata desc annotation annotation-xml symbol clippath mask pattern marker".split())
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: in math: elements whose children stand apart
+APART = frozenset("mfrac mtable mtr mlabeledtr".split())
+#: HTML tags that end an open svg or math
+BREAK_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _NEVER = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
@@ -87,6 +97,22 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
+        self.any_foreign = False  # an svg or math was opened
+
+    def _foreign(self) -> int:
+        """The open svg or math whose rules hold here; 0 in HTML, also in that inside svg and math."""
+        if self.any_foreign:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in ("svg", "math"):
+                    return i
+                if self.open[i].tag in HTML_INSIDE and any(e.tag in ("svg", "math") for e in self.open[:i]):
+                    return 0
+        return 0
+
+    def _unseen_text(self) -> bool:
+        """Whether text here is in an svg but in no text or HTML of it."""
+        at = self._foreign()
+        return at > 0 and self.open[at].tag == "svg" and all(e.tag != "text" for e in self.open[at:])
 
     def _pop_to(self, at: int) -> None:
         del self.open[max(1, at) :]
@@ -130,7 +156,23 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(node)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._start(tag, attrs)
+
+    def _start(self, tag: str, attrs: list[tuple[str, str | None]], ended: bool = False) -> None:
+        """``ended``: the tag closes itself, which only svg, math and what is in them can."""
         attributes = {k: v or "" for k, v in reversed(attrs)}
+        at = self._foreign()
+        while at and tag in BREAK_OUT:
+            self._pop_to(at)
+            at = self._foreign()
+        if at:
+            if tag in FOREIGN_UNSEEN:
+                attributes["hidden"] = ""
+            if tag == "text" or self.open[-1].tag in APART:
+                self._insert(" ")
+            return self._push(tag, attributes, not ended)
+        if tag in ("svg", "math"):
+            self.any_foreign = True
         if tag in ("html", "body"):
             self._close(frozenset(["head"]), frozenset())
             if tag == "html":
@@ -153,12 +195,15 @@ class TreeBuilder(HTMLParser):
                     self._close(frozenset(TABLE_PARTS), SCOPE - {"table"})
         if tag in ("td", "th") and self.open[-1].tag != "tr" and any(e.tag == "table" for e in self.open):
             self._push("tr", {})
-        self._push(tag, attributes, tag not in VOID and not (tag == "form" and self.open[-1].tag in TABLE_PARTS))
+        ended = ended and tag in ("svg", "math")
+        self._push(tag, attributes, tag not in VOID and not ended and not (tag == "form" and self.open[-1].tag in TABLE_PARTS))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        self._start(tag, attrs, True)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "text" and self.any_foreign and self._foreign():
+            self._insert(" ")
         if tag in VOID:
             if tag == "br":
                 self._push("br", {}, False)
@@ -176,6 +221,8 @@ class TreeBuilder(HTMLParser):
             self._pop_to(1)
         if self.open[-1].tag == "colgroup" and data.strip():
             self.open.pop()
+        if self.any_foreign and self._unseen_text():
+            return
         self._insert(data)
 
 
