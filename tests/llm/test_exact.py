@@ -209,6 +209,20 @@ def test_pieces_end_with_their_text():
         assert ids[a:b].tolist() == model.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_are_the_librarys(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tributary.llm.token_store import tokens_of
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x\n\n"), (3, "<|endof"), (4, "text|> plain"), (5, "half <|end\n\n"), (6, None)]
+    found = {r.doc_id: r for r in tokens_of(table(spark, texts).coalesce(1)).collect()}
+    for i, t in texts:
+        want = [*model.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (found[i].n_tokens, found[i].ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
 def test_mixing(spark):
     from tributary.llm import mixing
 

@@ -5,8 +5,8 @@ are those of its pieces if every cut between pieces is also one between pre-toke
 In byte-level BPE with the usual pattern these are: before a white-space character
 that a non-space follows, where a run of white space begins, behind a white-space
 character other than the blank if a non-space follows, and between an ASCII letter and
-ASCII punctuation. Texts with white space outside ``[\\x20\\x09-\\x0D]`` are encoded
-whole. Each distinct piece goes through the tokenizer once in a worker; the rest is
+ASCII punctuation. Texts with white space outside ``[\\x20\\x09-\\x0D]`` and, unless they
+are encoded as other text, with an added token's content are encoded whole. Each distinct piece goes through the tokenizer once in a worker; the rest is
 array look-ups by the piece's 64-bit hash. The table starts anew at ``MOST_PIECES``.
 """
 
@@ -43,13 +43,14 @@ _BYTE_CHARS = _byte_characters()
 
 
 class PieceCache:
-    """Encodes batches of texts with a byte-level tokenizer."""
+    """Encodes batches of texts with a byte-level tokenizer; encode_special: special tokens in them as other text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if not (encode_special and t.special)]
         self.model = self.tokenizer.model
         self.reset()
 
@@ -117,11 +118,11 @@ class PieceCache:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, joined, and where each text's begin (one more at the end)."""
         raw = data.tobytes()
-        if not _SUSPECT[data].any() or not _OTHER_SPACE.search(raw):
+        if not (_SUSPECT[data].any() and _OTHER_SPACE.search(raw)) and not any(t in raw for t in self.added):
             return self._encode_cut(data, raw, offsets)
         parts = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            if _OTHER_SPACE.search(raw, a, b):
+            if _OTHER_SPACE.search(raw, a, b) or any(raw.find(t, a, b) >= 0 for t in self.added):
                 parts.append(self.encode_text(raw[a:b]))
             else:
                 parts.append(self._encode_cut(data[a:b], raw[a:b], np.array([0, b - a]))[0])
@@ -169,6 +170,6 @@ class PieceCache:
 
 
 @cache
-def piece_cache(path: str) -> PieceCache:
+def piece_cache(path: str, encode_special: bool = False) -> PieceCache:
     """One for each worker process, kept between tasks."""
-    return PieceCache(path)
+    return PieceCache(path, encode_special)

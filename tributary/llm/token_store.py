@@ -93,7 +93,7 @@ def crc_join(a: int, b: int, n: int) -> int:
     return zlib.crc32(zeros, a) ^ b ^ zlib.crc32(zeros)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, encode_special: bool = True) -> DataFrame:
     """Rows of chunks (key, payload) and of recipes (key, doc_id, n_tokens, hashes), told apart by ``kind``.
 
     A chunk that a task meets again isn't sent again.
@@ -102,7 +102,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     names = ["kind", "key", "payload", "doc_id", "n_tokens", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sent = piece_cache(tokenizer), set()
+        cache, sent = piece_cache(tokenizer, encode_special), set()
         task, serial = TaskContext.get().partitionId(), 0
         for rows, data, offsets in pieces(batches, "text", PIECE_BYTES):
             ids, first = cache.encode(data, offsets)
@@ -170,11 +170,15 @@ def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[
         yield part, rows
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Encode the texts and write the three tables under ``path``."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, encode_special: bool = True) -> None:
+    """Encode the texts and write the three tables under ``path``.
+
+    encode_special: special tokens in texts are encoded as other text, not as the tokenizer's
+    library does by default.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")
-    rows = encoded(docs, tokenizer, end_id)
+    rows = encoded(docs, tokenizer, end_id, encode_special)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # one shuffle: chunks meet their equals, recipes come along
     met = rows.repartition(parts, "key").dropDuplicates(["key"])
@@ -289,12 +293,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """Write the documents to a new store in the shared folder and read their digests back."""
+    """Write the documents to a new store in the shared folder and read their digests back; ids are the library's by default."""
     import public_tokenizers
 
     spark = docs.sparkSession
     path = f"{Scratch(spark, 'token-files').path}/store"
-    write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), encode_special=False)
     return read_digests(spark, path)
 
 
