@@ -1,14 +1,15 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: MinHash containment search with sketches by size.
 
-Items are partitioned by their number of shingles. An item of n shingles is in a
+Instead of a partition by size, each item's sketch has the exact size that its own
+number of shingles needs, so one table serves all sizes. An item of n shingles is in a
 document if the document has at least ``ceil(containment * n)`` of them. The item's
 sketch is its bottom-k MinHash: its ``n - ceil(containment * n) + 1`` smallest
 hashes. A document that contains the item misses at most n - ceil(containment * n)
 shingles, so it has one of the sketch: the search loses nothing, however long the
 document. Every hit is verified by the exact shingles, as words.
 
-Each size class is searched in blocks of a bounded number of sketch hashes; only
-one block at a time is sent to the executors, in the task's closure, and texts
+Items are searched in blocks of a bounded number of bytes of text, dealt by a hash
+of the text; only one block at a time is sent to the executors, in the task's closure, and texts
 are never shuffled.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of
@@ -48,7 +49,7 @@ def exact_shingles(raw: bytes, width: int = WIDTH) -> set[tuple[bytes, ...]]:
 
 
 class ItemIndex:
-    """Bottom-k sketches of a block of items, by size class, behind one bit filter."""
+    """Bottom-k sketches of a block of items, each of its own size, behind one bit filter."""
 
     def __init__(self, items: list[tuple[object, str | None]], percent: int = CONTAINMENT):
         self.ids: list[object] = []
