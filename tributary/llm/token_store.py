@@ -1,19 +1,22 @@
 """Token ids in a content-addressed binary store.
 
-File format, version 1, three Parquet tables in one folder:
+File format, version 2, four Parquet tables in one folder, written in this order:
 
-* ``chunks``: chunk (16-byte BLAKE2b of the payload), payload. A payload is a width
+* ``chunks``: key (16-byte BLAKE2b of the payload), payload. A payload is a width
   byte (2 or 4) and ids as little-endian unsigned integers of that width. Each
   distinct chunk is stored once.
 * ``recipes``, in ascending doc_id order: doc_id, start (ids before it), n_tokens,
   chunks (hashes in order), root (Merkle root over them), part.
 * ``manifest``: one row a part of ``recipes``: part, first_start, n_docs, n_tokens, root
-  (Merkle root over its documents' roots).
+  (Merkle root over its documents' roots, starts, sizes and ids).
+* ``total``: one row: n_parts, n_docs, n_tokens, root (Merkle root over the parts' roots).
+  It is written last, so a store without it was never finished.
 
 A document's ids, with the end id, are cut where a rolling hash over the last eight
 ids has ``MASK`` zero bits, at 64 to 1,024 ids, so documents that share passages
 share chunks. Reading checks every payload against its hash, every recipe against
-its root and every part against the manifest; it fails on a difference.
+its root, every part against the manifest and the manifest against the total, and
+fails on any difference: a chunk, recipe or manifest row that is changed, missing or too many.
 
 Defined cases: a null or empty text is the end id alone; rows with equal doc_id
 are documents of their own, in any order among themselves; a null doc_id sorts
@@ -160,18 +163,18 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
     part, rows = None, []
     for batch in batches:
-        for p, n, root in zip(batch["part"], batch["n_tokens"], batch["root"], strict=True):
+        for p, n, leaf in zip(batch["part"], batch["n_tokens"], batch["leaf"], strict=True):
             if p != part and rows:
                 yield part, rows
                 rows = []
             part = p
-            rows.append((n, root))
+            rows.append((n, leaf.encode()))
     if rows:
         yield part, rows
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, encode_special: bool = True) -> None:
-    """Encode the texts and write the three tables under ``path``.
+    """Encode the texts and write the four tables under ``path``.
 
     encode_special: special tokens in texts are encoded as other text, not as the tokenizer's
     library does by default.
@@ -182,13 +185,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # one shuffle: chunks meet their equals, recipes come along
     met = rows.repartition(parts, "key").dropDuplicates(["key"])
-    met.write.option("compression", "zstd").partitionBy("kind").parquet(f"{scratch.path}/encoded")
-    split = spark.read.schema(met.schema).parquet(f"{scratch.path}/encoded")
+    split = scratch.save(met, "encoded", partition_by=["kind"])
+    split.where("kind = 'chunk'").select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = split.where("kind = 'recipe'").select("doc_id", "n_tokens", "hashes", "key")
     ordered = recipes.repartitionByRange(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("part", F.spark_partition_id())
     kind = recipes.schema["doc_id"].dataType.simpleString()
     placed = in_batches(ordered, _placed, f"doc_id {kind}, local_start long, n_tokens long, chunks array<binary>, root binary, part int")
     local = scratch.save(placed, "local", partition_by=["part"])
+    scratch.drop("encoded")
     totals = local.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = totals.select("part", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("first_start"))
@@ -196,28 +200,28 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     final = local.join(starts, "part").select("doc_id", (F.col("first_start") + F.col("local_start")).alias("start"), "n_tokens", "chunks", "root", "part", "first_start")
     final = final.repartition(parts, "part").sortWithinPartitions("part", "start")
     final.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    written = read_recipes(spark, path)
-    _manifest(written).write.parquet(f"{path}/manifest")
-    _rename(spark, f"{scratch.path}/encoded/kind=chunk", f"{path}/chunks")
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    """Move a written folder; an empty store gets an empty table."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    files = make(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(make(source)):
-        spark.createDataFrame([], "key binary, payload binary").write.parquet(target)
-    elif not files.rename(make(source), make(target)):
-        raise OSError(f"{source} can't be moved to {target}")
+    scratch.drop("local")
+    _manifest(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    _total(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/total")
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    ordered = recipes.repartition("part").sortWithinPartitions("part", "start").select("part", "n_tokens", "root")
+    leaf = F.concat_ws(":", F.hex("root"), "start", "n_tokens", F.coalesce(F.hex(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit("null")))
+    ordered = recipes.repartition("part").sortWithinPartitions("part", "start").select("part", "n_tokens", leaf.alias("leaf"))
     rooted = ordered.mapInPandas(_roots, "part int, n_docs long, n_tokens long, root binary")
     firsts = recipes.groupBy("part").agg(F.min("first_start").alias("first_start"))
     return rooted.join(firsts, "part")
 
 
+def _total(manifest: DataFrame) -> DataFrame:
+    """One row over the manifest's rows, of which there are as many as parts."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame(columns=["part", "n_docs", "n_tokens", "root"]), *batches]).sort_values("part")
+        yield pd.DataFrame({"n_parts": [len(rows)], "n_docs": [int(rows["n_docs"].sum())], "n_tokens": [int(rows["n_tokens"].sum())], "root": [merkle_root(list(rows["root"]))]})
+
+    return manifest.select("part", "n_docs", "n_tokens", "root").coalesce(1).mapInPandas(run, "n_parts long, n_docs long, n_tokens long, root binary")
+
+
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes")
 
@@ -245,51 +249,67 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crcs = []
         for start, n_tokens, chunks, root, parts in zip(*(batch.column(c).to_pylist() for c in ("start", "n_tokens", "chunks", "root", "parts")), strict=True):
             crc, n = 0, 0
-            for p in sorted(parts, key=lambda x: x["at"]):
+            for p in sorted(parts or [], key=lambda x: x["at"]):
+                if p["n"] is None:
+                    raise ValueError(f"a chunk of the document at {start} is missing")
                 crc, n = crc_join(crc, p["crc"], 4 * p["n"]), n + p["n"]
-            if len(parts) != len(chunks) or n != n_tokens or merkle_root(chunks) != root:
+            if len(parts or []) != len(chunks) or n != n_tokens or merkle_root(chunks) != root:
                 raise ValueError(f"the document at {start} isn't as its recipe says")
             crcs.append(crc)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def verify_store(spark: SparkSession, path: str) -> None:
-    """Compare the manifest with the recipes; fails on a difference."""
+    """Compare recipes, manifest and total with each other; fails on any difference."""
     columns = ["part", "n_docs", "n_tokens", "root", "first_start"]
-    wrong = _manifest(read_recipes(spark, path)).select(columns).exceptAll(spark.read.parquet(f"{path}/manifest").select(columns))
-    if not wrong.isEmpty():
+    said = spark.read.parquet(f"{path}/manifest").select(columns)
+    found = _manifest(read_recipes(spark, path)).select(columns)
+    if not found.exceptAll(said).isEmpty() or not said.exceptAll(found).isEmpty():
         raise ValueError(f"{path}: recipes and manifest differ")
+    if spark.read.parquet(f"{path}/total").collect() != _total(said).collect():
+        raise ValueError(f"{path}: manifest and total differ")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    if not said.withColumn("before", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).where("before <> first_start").isEmpty():
+        raise ValueError(f"{path}: parts don't follow each other")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
     Each stored chunk is read and checked once; a document's CRC-32 is put together
-    from its chunks', so no id is shuffled.
+    from its chunks', so no id is shuffled. A recipe whose chunks are missing fails.
     """
     verify_store(spark, path)
     recipes = read_recipes(spark, path)
     sums = in_batches(read_chunks(spark, path), _checked, "key binary, n long, crc long")
     used = recipes.select("start", F.posexplode("chunks").alias("at", "key"))
-    parts = used.join(sums, "key").groupBy("start").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
-    joined = recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "chunks", "root", "parts")
+    parts = used.join(sums, "key", "left").groupBy("start").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
+    joined = recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "chunks", "root", "parts")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     return in_batches(joined, _folded, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (array of long) of each document, put together from its chunks."""
+    """doc_id, start, ids (array of long) of each document, put together from its chunks; checked like :func:`read_digests`."""
+    verify_store(spark, path)
     recipes = read_recipes(spark, path)
     used = recipes.select("start", F.posexplode("chunks").alias("at", "key"))
-    parts = used.join(read_chunks(spark, path), "key").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "payload"))).alias("parts"))
+    parts = used.join(read_chunks(spark, path), "key", "left").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "key", "payload"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([unpack(p["payload"]) for p in parts]).astype(np.int64) for parts in batch.column("parts").to_pylist()]
+            ids = []
+            for start, chunks, root, n, parts in zip(*(batch.column(c).to_pylist() for c in ("start", "chunks", "root", "n_tokens", "parts")), strict=True):
+                if merkle_root(chunks) != root or any(p["payload"] is None or address(p["payload"]) != p["key"] for p in parts or []):
+                    raise ValueError(f"the document at {start} isn't as its recipe says")
+                own = np.concatenate([np.empty(0, dtype="<u4"), *(unpack(p["payload"]) for p in parts or [])]).astype(np.int64)
+                if len(own) != n:
+                    raise ValueError(f"the document at {start} has {len(own)} ids, not {n}")
+                ids.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return in_batches(recipes.join(parts, "start").select("doc_id", "start", "parts"), run, f"doc_id {kind}, start long, ids array<long>")
+    return in_batches(recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "chunks", "root", "parts"), run, f"doc_id {kind}, start long, ids array<long>")
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
