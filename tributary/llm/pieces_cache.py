@@ -6,8 +6,10 @@ In byte-level BPE with the usual pattern these are: before a white-space charact
 that a non-space follows, where a run of white space begins, behind a white-space
 character other than the blank if a non-space follows, and between an ASCII letter and
 ASCII punctuation. Texts with white space outside ``[\\x20\\x09-\\x0D]`` and, unless they
-are encoded as other text, with an added token's content are encoded whole. Each distinct piece goes through the tokenizer once in a worker; the rest is
-array look-ups by the piece's 64-bit hash. The table starts anew at ``MOST_PIECES``.
+are encoded as other text, with an added token's content are encoded whole. Each
+distinct piece goes through the tokenizer once in a worker; the rest is array look-ups
+by the piece's 128-bit identity, which is the piece itself up to 15 bytes and a BLAKE2b
+digest beyond. The table starts anew at ``MOST_PIECES``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 
-from tributary.llm.shingles import SPACE, U64, span_hashes
+from tributary.llm.shingles import SPACE, U64, identities, mix
 
 MOST_PIECES = 1_500_000
 _SLOT_BITS = 22
@@ -55,7 +57,7 @@ class PieceCache:
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(1 << _SLOT_BITS, dtype=U64)
+        self.low, self.high = (np.zeros(1 << _SLOT_BITS, dtype=U64) for _ in range(2))
         self.entry = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
         self.start = np.zeros(1 << 12, dtype=np.int64)
         self.size = np.zeros(1 << 12, dtype=np.int32)
@@ -65,8 +67,12 @@ class PieceCache:
     def encode_text(self, raw: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        base, n = self.entries, len(keys)
+    @staticmethod
+    def _slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high)) >> U64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _add(self, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        base, n = self.entries, len(low)
         while base + n > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.ids):
@@ -74,12 +80,12 @@ class PieceCache:
         self.ids[self.used : self.used + len(ids)] = ids
         self.size[base : base + n] = sizes
         self.start[base : base + n] = self.used + np.cumsum(sizes) - sizes
-        slot = (keys >> U64(64 - _SLOT_BITS)).astype(np.int64)
+        slot = self._slot(low, high)
         left = np.arange(n)
         while len(left):
             free = left[self.entry[slot[left]] < 0]
             won = free[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[won]], self.entry[slot[won]] = keys[won], base + won
+            self.low[slot[won]], self.high[slot[won]], self.entry[slot[won]] = low[won], high[won], base + won
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) & ((1 << _SLOT_BITS) - 1)
         self.entries += n
@@ -92,15 +98,16 @@ class PieceCache:
             return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 where there is none."""
-        slot = (hashes >> U64(64 - _SLOT_BITS)).astype(np.int64)
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The entry of each identity, -1 where there is none."""
+        slot = self._slot(low, high)
         found = self.entry[slot]
-        open_ = np.flatnonzero((found >= 0) & (self.keys[slot] != hashes))
+        open_ = np.flatnonzero((found >= 0) & ((self.low[slot] != low) | (self.high[slot] != high)))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & ((1 << _SLOT_BITS) - 1)
             found[open_] = self.entry[slot[open_]]
-            open_ = open_[(found[open_] >= 0) & (self.keys[slot[open_]] != hashes[open_])]
+            at = slot[open_]
+            open_ = open_[(found[open_] >= 0) & ((self.low[at] != low[open_]) | (self.high[at] != high[open_]))]
         return found
 
     def _cuts(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -137,21 +144,18 @@ class PieceCache:
         inner = offsets[:-1][offsets[:-1] < len(data)]
         cuts = self._cuts(data, inner)
         starts, ends = cuts, np.append(cuts[1:], len(data))
-        hashes = np.empty(len(cuts), dtype=U64)
-        for lo, hi in self._spans(starts, len(data)):
-            a, b = starts[lo], ends[hi - 1]
-            hashes[lo:hi] = span_hashes(data[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
-        entries = self._find(hashes)
+        low, high = identities(data, starts, ends)
+        entries = self._find(low, high)
         missing = np.flatnonzero(entries < 0)
         if len(missing):
-            fresh, at = np.unique(hashes[missing], return_index=True)
+            fresh = missing[np.unique(np.stack([low[missing], high[missing]], axis=1), axis=0, return_index=True)[1]]
             if self.entries + len(fresh) > (1 << _SLOT_BITS) * 9 // 10:  # more pieces than the table holds
                 self.reset()
                 return self._encode_whole(raw, offsets)
-            found = [self._encode_piece(raw[starts[i] : ends[i]]) for i in missing[at].tolist()]
+            found = [self._encode_piece(raw[starts[i] : ends[i]]) for i in fresh.tolist()]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self._add(fresh, sizes, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())))
-            entries[missing] = self._find(hashes[missing])
+            self._add(low[fresh], high[fresh], sizes, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())))
+            entries[missing] = self._find(low[missing], high[missing])
         sizes = self.size[entries].astype(np.int64)
         until = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.start[entries] - (until - sizes), sizes) + np.arange(until[-1])]
@@ -161,13 +165,6 @@ class PieceCache:
         parts = [self.encode_text(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
-    def _spans(self, starts: np.ndarray, n: int, size: int = 1 << 20) -> list[tuple[int, int]]:
-        """Ranges of pieces that together have about ``size`` bytes."""
-        edges = [0]
-        while edges[-1] < len(starts):
-            edges.append(max(edges[-1] + 1, int(np.searchsorted(starts, starts[edges[-1]] + size))))
-        return list(zip(edges[:-1], edges[1:], strict=True))
-
 
 @cache
 def piece_cache(path: str, encode_special: bool = False) -> PieceCache:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm.shared import Scratch, in_batches, table
-from tributary.llm.shingles import SPACE, pieces, windows, words
+from tributary.llm.shingles import SPACE, draw_keys, pieces, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_lines")
 SAMPLE_ROWS = 20_000  # labelled rows that the learner takes at most, by the smallest hash of their id
@@ -71,10 +71,10 @@ def _duplicate_lines(raw: bytes) -> tuple[int, int]:
     return len(worded) - len(set(worded)), len(lines)
 
 
-def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+def text_counts(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of COUNTS for each text."""
-    hashes, _, _, first = words(data, offsets, fold=False)
-    runs = windows(hashes, 3)
+    hashes, _, _, first = words(data, offsets, keys, fold=False)
+    runs = windows(hashes, 3, keys)
     spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
     lines = [_duplicate_lines(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return {
@@ -95,10 +95,11 @@ def with_counts(docs: DataFrame, keep: list[str], text: str = "text", into: str
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     kinds = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField(into, kinds)])
+    keys = draw_keys()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches, text):
-            counts = text_counts(data, offsets)
+            counts = text_counts(data, offsets, keys)
             struct = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], list(COUNTS))
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], struct], [*keep, into])
 

@@ -2,13 +2,19 @@
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``; those bytes never occur
 inside a multi-byte character, so byte runs and character runs are the same.
-Word hashes come from differences of polynomial prefix sums modulo 2**64, so no
-Python object is made per word. Text is hashed in segments of about a megabyte,
-cut between words, so working memory doesn't depend on the batch.
+A word's identity is 128 bits: its bytes and length up to 15 bytes, a BLAKE2b
+digest beyond, so short words never collide. Hashes of words and shingles are
+multilinear in that identity, with random factors drawn for each run (:func:`draw_keys`):
+two different ones collide with a chance of about 2**-64 whatever the texts, and no
+text can be written that makes them. Both sides of a comparison must use the same keys.
+Text is hashed in segments of about a megabyte, cut between words, so working memory
+doesn't depend on the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +31,18 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = {"up": np.ones(1, dtype=U64), "down": np.ones(1, dtype=U64)}
-_MIX1, _MIX2, _LENGTH = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93)
+_MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+_HALF, _LOW = U64(32), U64(0xFFFFFFFF)
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)  # masks of the first n bytes
+SHORT = 15  # bytes of a word that its identity holds as they are
 
+# where the factors of each use begin among the keys
+_WORD, _RUN, _SHORT_RUN, _COMBINED, _KEYS = 0, 10, 20, 32, 48
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS["up"]) < n:
-        size = max(n, 2 * SEGMENT)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+def draw_keys(seed: bytes | None = None) -> np.ndarray:
+    """Random factors of the hashes; all tasks of a run share them."""
+    return np.frombuffer(hashlib.shake_256(seed or os.urandom(32)).digest(8 * _KEYS), dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,12 +53,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for the bytes data[start:end] of each span: themselves up to SHORT bytes, a digest beyond."""
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    low = eight[starts] & _FIRST[np.minimum(sizes, 8)]
+    high = eight[starts + 8] & _FIRST[np.clip(sizes - 8, 0, 7)] | (np.minimum(sizes, 255).astype(U64) << U64(56))
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        view = memoryview(padded)
+        digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        halves = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+        low[long], high[long] = halves[:, 0], halves[:, 1] | U64(0xFF << 56)
+    return low, high
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """A hash of data[start:end] for each span."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    low, high = identities(data, starts, ends)
+    parts = (low & _LOW, low >> _HALF, high & _LOW, high >> _HALF)
+    lanes = []
+    for k in (keys[_WORD : _WORD + 5], keys[_WORD + 5 : _WORD + 10]):
+        lane = parts[0] * k[1]
+        lane += k[0]
+        for part, factor in zip(parts[1:], k[2:], strict=True):
+            lane += part * factor
+        lanes.append(lane)
+    return (lanes[0] & ~_LOW) | (lanes[1] >> _HALF)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, size: int = SEGMENT) -> Iterator[tuple[int, int]]:
@@ -73,7 +99,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, size: int = SEGMENT) -> Iter
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, word starts and ends in data, and each document's first word (one more at the end).
 
     fold lower-cases A-Z.
@@ -93,7 +119,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
         after[:-1] = space[1:]
         first = np.flatnonzero(~space & (before | cut[:-1]))
         last = np.flatnonzero(~space & (after | cut[1:])) + 1
-        hashes.append(span_hashes(LOWER[raw] if fold else raw, first, last))
+        hashes.append(span_hashes(LOWER[raw] if fold else raw, first, last, keys))
         starts.append(first + lo)
         ends.append(last + lo)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
@@ -101,41 +127,46 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     return join(hashes, U64), begin, join(ends, np.int64), np.searchsorted(begin, offsets)
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+def windows(hashes: np.ndarray, width: int, keys: np.ndarray) -> np.ndarray:
     """A hash of every run of ``width`` words (runs across documents too: slice them away)."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=U64)
-    factors, _ = powers(width + 1)
     total = np.zeros(n, dtype=U64)
     for j in range(width):
-        total += hashes[j : j + n] * factors[j + 1]
+        total += hashes[j : j + n] * (keys[_RUN + j] | U64(1))
     return mix(total)
 
 
-def short_run(hashes: np.ndarray) -> np.ndarray:
+def short_run(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The one shingle of a text with fewer words than a shingle has."""
-    factors, _ = powers(len(hashes) + 1)
-    return mix((hashes * factors[1:]).sum(dtype=U64)[None] + np.array([len(hashes)], dtype=U64) * _LENGTH)
+    factors = keys[_SHORT_RUN : _SHORT_RUN + len(hashes)] | U64(1)
+    return mix((hashes * factors).sum(dtype=U64)[None] + keys[_SHORT_RUN + WIDTH + len(hashes)])
+
+
+def combined(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A hash of each row of up to four shingles."""
+    factors = keys[_COMBINED : _COMBINED + rows.shape[1]] | U64(1)
+    return mix((rows * factors).sum(axis=1, dtype=U64))
 
 
-def document_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
+def document_sets(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
     """Each document's sorted distinct shingle hashes."""
-    hashes, _, _, first = words(data, offsets)
-    runs = windows(hashes, width)
+    hashes, _, _, first = words(data, offsets, keys)
+    runs = windows(hashes, width, keys)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
             yield np.unique(runs[a : b - width + 1])
         else:
-            yield short_run(hashes[a:b]) if b > a else hashes[a:a]
+            yield short_run(hashes[a:b], keys) if b > a else hashes[a:a]
 
 
-def set_hash(shingles: np.ndarray) -> int:
-    """A signed 64-bit hash of a set, whatever its order; 0 for the empty set."""
+def set_hash(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a sorted set as two signed numbers; (0, 0) for the empty set."""
     if not len(shingles):
-        return 0
-    total = mix((mix(shingles ^ _LENGTH)).sum(dtype=U64)[None] + U64(len(shingles)))
-    return int(total.view(np.int64)[0]) or 1
+        return 0, 0
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True) or 1, int.from_bytes(digest[8:], "little", signed=True) or 1
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
