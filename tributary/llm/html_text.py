@@ -5,16 +5,20 @@ all visible text: blocks on lines of their own, a blank line around paragraphs,
 headings, lists and tables, list items with their marks and indents, preformatted
 text as it is, and table cells padded to aligned columns.
 
+Pages nest as deep as they like: open elements are found by their tags' places, and the
+renderer keeps its own stack but for lists, tables and quotes. Indents stop growing after
+``MOST_INDENTS`` levels; no text is lost there.
+
 Visibility: nothing of head, script, style, template, noscript and other elements without
 text of their own is shown, nor svg but for its ``text`` and ``foreignObject``, nor the
 definitions, descriptions and annotations in svg and math, nor elements with the ``hidden`` attribute, with ``display: none`` or
-``visibility: hidden`` in their style (``visibility: visible`` inside shows again),
-closed ``details`` but for the summary, closed ``dialog``, and hidden inputs. Comments
+``visibility: hidden`` in their style (``visibility: visible`` inside shows again), or
+in rules of ``style`` elements for a tag, class, id or several of these together (other
+selectors and at-rules are not read), closed ``details`` but for the summary, closed ``dialog``, and hidden inputs. Comments
 are never text.
 
 Defined cases: a null page gives a null text, an empty one an empty text; broken
-markup is read to its end; elements nested deeper than ``MOST_DEPTH`` become siblings;
-repeated rows and null ids are returned each; an empty table gives an empty
+markup is read to its end; repeated rows and null ids are returned each; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -23,7 +27,9 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,12 +38,12 @@ from pyspark.sql import functions as F
 
 from tributary.llm.shared import in_batches, table
 
-MOST_DEPTH = 256
+MOST_INDENTS = 256
 MOST_COLUMNS = 1000  # the largest colspan that HTML allows
 
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist base link meta title param source track area".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist base link meta title param source track area progress meter".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr td th thead tbody tfoot caption".split()
@@ -62,6 +68,7 @@ IMPLIED_END = {
 #: an end tag doesn't reach through these to an element outside them
 SCOPE = frozenset("table td th caption html template".split())
 ROW_GROUPS = frozenset("thead tbody tfoot".split())
+SCOPE_PASSERS = ROW_GROUPS | frozenset("table tr body html".split())
 #: elements that hold rows and cells only, the tags that open a part of a table, and all that stays where it is in one
 TABLE_PARTS = ROW_GROUPS | {"table", "tr"}
 STRUCTURE = ROW_GROUPS | frozenset("caption colgroup tr td th".split())
@@ -76,16 +83,77 @@ BREAK_OUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_NEVER = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
 
 
 class Element:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "ruled", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes = tag, attributes
         self.children: list[Element | str] = []
+        self.ruled: tuple[str, str] = ("", "")  # display and visibility that the page's rules give it
+
+
+class Open:
+    """The open elements, from the root on, with the places of each tag."""
+
+    def __init__(self, root: Element):
+        self.elements = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, e: Element) -> None:
+        self.places[e.tag].append(len(self.elements))
+        self.elements.append(e)
+
+    def cut(self, at: int) -> None:
+        """Close the element at ``at`` and all in it; the root stays."""
+        while len(self.elements) > max(1, at):
+            self.places[self.elements.pop().tag].pop()
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The innermost open element with one of the tags; 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def outermost(self, tags: Iterable[str], above: int) -> int:
+        """The outermost open element with one of the tags inside the one at ``above``; 0 for none."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, above)) < len(p)]
+        return min(found, default=0)
+
+
+def style_rules(sheet: str) -> list[tuple[tuple[int, int], str, frozenset[str], str, str]]:
+    """Rank, tag, classes and ids, display and visibility of the sheet's rules whose selector is simple and that say either."""
+    rules, at, text = [], 0, _COMMENT.sub(" ", sheet)
+    while (brace := text.find("{", at)) >= 0:
+        selector = text[at:brace].strip().rsplit(";", 1)[-1].strip()
+        end = text.find("}", brace)
+        if selector.startswith("@"):  # with all in it
+            depth, end = 1, brace + 1
+            while depth and end < len(text):
+                depth += {"{": 1, "}": -1}.get(text[end], 0)
+                end += 1
+            at = end
+            continue
+        body = text[brace + 1 : end if end >= 0 else len(text)]
+        at = end + 1 if end >= 0 else len(text)
+        said = [found[1].lower() if (found := last) else "" for last in (_last(_DISPLAY, body), _last(_VISIBILITY, body))]
+        if any(said):
+            for one in selector.split(","):
+                if (simple := _SIMPLE.fullmatch(one.strip())) and one.strip():
+                    marks = frozenset(re.findall(r"[.#][\w-]+", simple[2]))
+                    rank = (sum(m[0] == "#" for m in marks) * 1000 + len(marks) * 10 + bool(simple[1]), len(rules))
+                    rules.append((rank, (simple[1] or "").lower(), marks, *said))
+    return sorted(rules)
+
+
+def _last(pattern: re.Pattern, body: str) -> re.Match | None:
+    found = None
+    for found in pattern.finditer(body):
+        pass
+    return found
 
 
 class TreeBuilder(HTMLParser):
@@ -96,52 +164,44 @@ class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
-        self.open = [self.root]
+        self.opened = Open(self.root)
+        self.open = self.opened.elements
         self.any_foreign = False  # an svg or math was opened
+        self.depth = 1
+        self.elements: list[Element] = []
+        self.sheets: list[str] = []
 
     def _foreign(self) -> int:
         """The open svg or math whose rules hold here; 0 in HTML, also in that inside svg and math."""
-        if self.any_foreign:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in ("svg", "math"):
-                    return i
-                if self.open[i].tag in HTML_INSIDE and any(e.tag in ("svg", "math") for e in self.open[:i]):
-                    return 0
-        return 0
+        if not self.any_foreign:
+            return 0
+        at = self.opened.nearest(("svg", "math"))
+        return at if at > self.opened.nearest(HTML_INSIDE) else 0
 
     def _unseen_text(self) -> bool:
         """Whether text here is in an svg but in no text or HTML of it."""
         at = self._foreign()
-        return at > 0 and self.open[at].tag == "svg" and all(e.tag != "text" for e in self.open[at:])
+        return at > 0 and self.open[at].tag == "svg" and self.opened.nearest(("text",)) < at
 
     def _pop_to(self, at: int) -> None:
-        del self.open[max(1, at) :]
+        self.opened.cut(at)
 
     def _close(self, tags: frozenset[str], stop: frozenset[str]) -> None:
         """Close the outermost of the open elements in ``tags`` above the nearest in ``stop``."""
-        found = 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
-                break
-            if self.open[i].tag in tags:
-                found = i
-        if found:
+        if found := self.opened.outermost(tags, self.opened.nearest(stop)):
             self._pop_to(found)
 
     def _push(self, tag: str, attributes: dict[str, str], keep_open: bool = True) -> None:
         element = Element(tag, attributes)
-        if keep_open and len(self.open) >= MOST_DEPTH:
-            self.open.pop()
         self._insert(element)
+        self.elements.append(element)
         if keep_open:
-            self.open.append(element)
+            self.opened.push(element)
+            self.depth = max(self.depth, len(self.open))
 
     def _context(self) -> int:
         """The nearest open part of a table, cell or caption; 0 if there is none."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in TABLE_PARTS or self.open[i].tag in SCOPE:
-                return i
-        return 0
+        return self.opened.nearest(TABLE_PARTS | SCOPE)
 
     def _insert(self, node: Element | str) -> None:
         """Add to the open element; what has no place in a table goes before the table."""
@@ -180,7 +240,7 @@ class TreeBuilder(HTMLParser):
         elif tag not in UNSEEN and len(self.open) == 2 and self.open[1].tag == "head":
             self._pop_to(1)  # content ends the head
         if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
-            self.open.pop()
+            self._pop_to(len(self.open) - 1)
         if tag in CLOSES_P:
             self._close(frozenset(["p"]), SCOPE | {"button"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
@@ -193,7 +253,7 @@ class TreeBuilder(HTMLParser):
                 self._pop_to(at + 1)  # stray elements end where the table goes on
                 if tag == "table":  # directly in another: that one ends
                     self._close(frozenset(TABLE_PARTS), SCOPE - {"table"})
-        if tag in ("td", "th") and self.open[-1].tag != "tr" and any(e.tag == "table" for e in self.open):
+        if tag in ("td", "th") and self.open[-1].tag != "tr" and self.opened.nearest(("table",)):
             self._push("tr", {})
         ended = ended and tag in ("svg", "math")
         self._push(tag, attributes, tag not in VOID and not ended and not (tag == "form" and self.open[-1].tag in TABLE_PARTS))
@@ -208,11 +268,9 @@ class TreeBuilder(HTMLParser):
             if tag == "br":
                 self._push("br", {}, False)
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                return self._pop_to(i)
-            if self.open[i].tag in SCOPE and tag not in ("table", "tr", "body", "html", *ROW_GROUPS):
-                break
+        at = self.opened.nearest((tag,))
+        if at and (tag in SCOPE_PASSERS or at >= self.opened.nearest(SCOPE)):
+            return self._pop_to(at)
         if tag == "p":
             self._push("p", {}, False)
 
@@ -220,17 +278,37 @@ class TreeBuilder(HTMLParser):
         if len(self.open) == 2 and self.open[1].tag == "head" and data.strip():
             self._pop_to(1)
         if self.open[-1].tag == "colgroup" and data.strip():
-            self.open.pop()
+            self._pop_to(len(self.open) - 1)
+        if self.open[-1].tag == "style":
+            self.sheets.append(data)
         if self.any_foreign and self._unseen_text():
             return
         self._insert(data)
 
+    def apply_rules(self) -> None:
+        """Give each element what the page's style rules say of it, the strongest and then the last one first."""
+        by_tag, by_mark = defaultdict(list), defaultdict(list)
+        for rule in style_rules("".join(self.sheets)):
+            _, tag, marks, _, _ = rule
+            if marks:
+                by_mark[min(marks)].append(rule)
+            else:
+                by_tag[tag].append(rule)
+        for e in self.elements if by_tag or by_mark else ():
+            own = {f".{c}" for c in e.attributes.get("class", "").split()} | {f"#{x}" for x in [e.attributes.get("id", "")] if x}
+            met = [*by_tag[e.tag], *(r for m in own if m in by_mark for r in by_mark[m] if r[2] <= own and r[1] in ("", e.tag))] if own or e.tag in by_tag else []
+            for _, _, _, display, visibility in sorted(met):
+                e.ruled = (display or e.ruled[0], visibility or e.ruled[1])
+
 
-def parse(page: str) -> Element:
+def parse(page: str) -> tuple[Element, int]:
+    """The root of a page's tree, and how deep it is."""
     builder = TreeBuilder()
     builder.feed(page)
     builder.close()
-    return builder.root
+    if builder.sheets:
+        builder.apply_rules()
+    return builder.root, builder.depth
 
 
 def width(text: str) -> int:
@@ -294,13 +372,16 @@ def _shown(e: Element, visible: bool) -> tuple[bool, bool]:
     """Whether an element takes part in the layout, and whether text in it shows."""
     if e.tag in UNSEEN or "hidden" in e.attributes or (e.tag == "dialog" and "open" not in e.attributes):
         return False, False
+    display, visibility = e.ruled
     style = e.attributes.get("style", "")
     if style:
-        if _NEVER.search(style):
-            return False, False
-        if found := _VISIBILITY.search(style):
-            visible = found[1].lower() == "visible"
-    return True, visible
+        if found := _last(_DISPLAY, style):
+            display = found[1].lower()
+        if found := _last(_VISIBILITY, style):
+            visibility = found[1].lower()
+    if display == "none":
+        return False, False
+    return True, visibility == "visible" if visibility else visible
 
 
 def _children(e: Element) -> list[Element | str]:
@@ -315,8 +396,13 @@ def _number(text: str, default: int, least: int = 1, most: int = MOST_COLUMNS) -
 
 
 def _preformatted(e: Element, visible: bool, out: list[str]) -> None:
-    for c in _children(e):
-        if isinstance(c, str):
+    stack = [(iter(_children(e)), visible)]
+    while stack:
+        children, visible = stack[-1]
+        c = next(children, None)
+        if c is None:
+            stack.pop()
+        elif isinstance(c, str):
             if visible:
                 out.append(c)
         elif c.tag == "br":
@@ -324,7 +410,7 @@ def _preformatted(e: Element, visible: bool, out: list[str]) -> None:
         else:
             shown, seen = _shown(c, visible)
             if shown:
-                _preformatted(c, seen, out)
+                stack.append((iter(_children(c)), seen))
 
 
 def _list(e: Element, visible: bool, lines: Lines, depth: int) -> None:
@@ -338,7 +424,7 @@ def _list(e: Element, visible: bool, lines: Lines, depth: int) -> None:
         if not shown:
             continue
         if c.tag != "li":
-            _element(c, seen, lines, depth)
+            _walk([c], visible, lines, depth)
             continue
         mark = "- "
         if e.tag == "ol":
@@ -349,8 +435,8 @@ def _list(e: Element, visible: bool, lines: Lines, depth: int) -> None:
         _content(c, seen, item, depth + 1)
         item.end()
         if item.done:
-            indent = " " * len(mark)
-            lines.literal([mark + item.done[0], *(indent + x if x else x for x in item.done[1:])])
+            indent = " " * len(mark) if depth < MOST_INDENTS else ""
+            lines.literal([mark + item.done[0], *(indent + x if x else x for x in item.done[1:])] if indent else [mark + item.done[0], *item.done[1:]])
 
 
 def _rows(e: Element, visible: bool) -> Iterator[tuple[Element, bool]]:
@@ -379,9 +465,7 @@ def _table(e: Element, visible: bool, lines: Lines, depth: int) -> None:
             if visible and c.strip():
                 lines.inline(c)
         elif c.tag not in ROW_GROUPS and c.tag not in ("tr", "col", "colgroup"):
-            shown, seen = _shown(c, visible)
-            if shown:
-                _element(c, seen, lines, depth)
+            _walk([c], visible, lines, depth)
     lines.end()
     grid: list[dict[int, list[str]]] = []
     spans: dict[int, int] = {}  # columns taken by cells of earlier rows: rows left
@@ -439,14 +523,37 @@ def _table(e: Element, visible: bool, lines: Lines, depth: int) -> None:
 
 
 def _content(e: Element, visible: bool, lines: Lines, depth: int) -> None:
-    for c in _children(e):
-        if isinstance(c, str):
+    _walk(_children(e), visible, lines, depth)
+
+
+def _walk(nodes: list[Element | str], visible: bool, lines: Lines, depth: int) -> None:
+    """Render nodes one after the other; plain elements in them are opened on a stack, with how their line ends."""
+    stack: list[tuple[Iterator[Element | str], bool, bool | None]] = [(iter(nodes), visible, None)]
+    while stack:
+        children, visible, spaced = stack[-1]
+        c = next(children, None)
+        if c is None:
+            stack.pop()
+            if spaced is not None:
+                lines.end(spaced)
+        elif isinstance(c, str):
             if visible:
                 lines.inline(c)
         else:
             shown, seen = _shown(c, visible)
-            if shown:
+            if not shown:
+                continue
+            if c.tag in APART_ELEMENTS:
                 _element(c, seen, lines, depth)
+            elif c.tag in BLOCK:
+                lines.end(c.tag in SPACED)
+                stack.append((iter(_children(c)), seen, c.tag in SPACED))
+            else:
+                stack.append((iter(_children(c)), seen, None))
+
+
+#: elements with a layout of their own
+APART_ELEMENTS = frozenset("br input pre ul ol menu dir table blockquote dd".split())
 
 
 def _element(e: Element, visible: bool, lines: Lines, depth: int) -> None:
@@ -456,11 +563,10 @@ def _element(e: Element, visible: bool, lines: Lines, depth: int) -> None:
         if visible and e.attributes.get("type", "text").lower() in ("submit", "reset", "button", "text", "search", "email", "url", "tel", "number"):
             lines.inline(e.attributes.get("value", ""))
         return None
-    if e.tag not in BLOCK:
-        return _content(e, visible, lines, depth)
     spaced = e.tag in SPACED and not (depth and e.tag in ("ul", "ol"))
-    lines.end(spaced)
-    if e.tag in ("pre", "textarea"):
+    if e.tag in BLOCK:
+        lines.end(spaced)
+    if e.tag == "pre":
         out: list[str] = []
         _preformatted(e, visible, out)
         text = "".join(out).replace("\r\n", "\n").replace("\r", "\n").removeprefix("\n")
@@ -469,13 +575,11 @@ def _element(e: Element, visible: bool, lines: Lines, depth: int) -> None:
         _list(e, visible, lines, depth)
     elif e.tag == "table":
         _table(e, visible, lines, depth)
-    elif e.tag == "blockquote" or e.tag == "dd":
+    else:
         inner = Lines()
         _content(e, visible, inner, depth + 1)
         inner.end()
-        lines.literal([f"  {x}" if x else x for x in inner.done])
-    else:
-        _content(e, visible, lines, depth)
+        lines.literal([f"  {x}" if x else x for x in inner.done] if depth < MOST_INDENTS else inner.done)
     lines.end(spaced)
     return None
 
@@ -484,9 +588,9 @@ def page_text(page: str | None) -> str | None:
     """All visible text of a page."""
     if page is None:
         return None
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MOST_DEPTH))
     lines = Lines()
-    root = parse(page)
+    root, depth = parse(page)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * depth + 1000))
     shown, seen = _shown(root, True)
     if shown:
         _content(root, seen, lines, 0)
