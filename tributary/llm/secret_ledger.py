@@ -1,11 +1,19 @@
 """Secret scans over an incremental ledger of blobs.
 
-Every version of every text is content-addressed by SHA-256. The ledger remembers
-for each blob which rules, in which version, have scanned it, and what they found.
-A scan takes only the blobs with a pair of blob and rule version that isn't there
-yet, each blob once however many paths hold it, and findings are joined back to
-all paths. One appended table holds both, so a run that dies leaves nothing half
-recorded: files of a failed write are never committed by Spark.
+Every version of every text is content-addressed by SHA-256. The ledger is four tables
+under one folder:
+
+* ``blobs``: each distinct text once, in batches, one for each :meth:`Ledger.record`;
+* ``history``: doc_id, version, blob of every row that was ever recorded;
+* ``scans``: which batch which rule, in which version, has scanned in which run;
+* ``found``: the spans that each run found, by blob.
+
+A batch that a run has scanned is recorded only after what it found is written, so a
+run that dies leaves nothing half recorded: its rows in ``found`` belong to no
+recorded run and are never read. An update scans the batches' blobs with just the rules
+whose version hasn't scanned them, historical versions included, each blob once however
+many paths and versions hold it. Findings are joined back to all paths. Two writers that
+record or scan the same blob at the same time give the same spans, which count once.
 
 All of it is Spark SQL functions. Spans come from the lengths of matches and of the
 text between them, summed in a window over each blob's matches.
@@ -17,6 +25,8 @@ empty result; extra columns are ignored. Spans are in code points, end exclusive
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +34,10 @@ from pyspark.sql import functions as F
 
 from tributary.llm.shared import Scratch, table
 
-LEDGER = "blob string, rules array<string>, found array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
+BLOBS = "blob string, text string, batch string"
+SCANS = "batch string, rule string, run string"
+FOUND = "blob string, found array<struct<start:bigint,end:bigint,kind:string,rule:string>>, run string"
 
 
 @dataclass(frozen=True)
@@ -73,68 +86,84 @@ def _matches(rule: Rule, rank: int) -> Column:
         F.size(hits) > 0,
         F.zip_with(hits, gaps, lambda hit, gap: F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.length(gap).cast("bigint").alias("gap"), hit.alias("hit"))),
     )
-    due = F.array_contains("due", rule.key)
-    return F.when(due & F.contains("text", F.lit(rule.has)) if rule.has else due, found)
+    return F.when(F.contains("text", F.lit(rule.has)), found) if rule.has else found
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows of blobs (blob, text, due: the keys of the rules to apply)."""
+    """blob, found (spans with their rule) of the blobs (blob, text) in which a rule finds something."""
     empty = F.lit(None).cast("array<struct<rank:int,kind:string,gap:bigint,hit:string>>")
     every = F.flatten(F.filter(F.array(*[F.coalesce(_matches(r, i), empty) for i, r in enumerate(rules)]), lambda x: x.isNotNull()))
-    spread = blobs.select("blob", "due", F.posexplode_outer(every).alias("at", "m")).select("blob", "due", "at", "m.*")
+    spread = blobs.select("blob", F.posexplode(every).alias("at", "m")).select("blob", "at", "m.*")
     before = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = spread.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(before))
-    counts = F.lit(False)
+    counts, key = F.lit(False), F.lit(None).cast("string")
     for i, rule in enumerate(rules):
         whole = F.regexp_extract("hit", rule.pattern, rule.group) if rule.group else F.col("hit")
         counts = F.when(F.col("rank") == i, F.length(whole) >= rule.least).otherwise(counts)
-    span = F.when(F.col("hit").isNotNull() & counts, F.struct((F.col("end") - F.length("hit")).cast("bigint").alias("start"), "rank", F.col("end").cast("bigint").alias("end"), "kind"))
-    return ended.groupBy("blob").agg(F.first("due").alias("rules"), F.sort_array(F.collect_list(span)).alias("found"))
+        key = F.when(F.col("rank") == i, rule.key).otherwise(key)
+    span = F.struct((F.col("end") - F.length("hit")).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "kind", key.alias("rule"))
+    return ended.where(counts).groupBy("blob").agg(F.collect_list(span).alias("found"))
 
 
 class Ledger:
-    """What has been scanned, as an appended table at ``path``."""
+    """The tables at ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def rows(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(LEDGER).parquet(self.path) if there else self.spark.createDataFrame([], LEDGER)
-
-    def unseen(self, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """blob, text, due: each distinct text with the keys of the rules that haven't scanned it."""
-        wanted = F.array(*[F.lit(r.key) for r in rules])
-        blobs = texts.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        rows = self.rows()
-        if rows.isEmpty():
-            return blobs.dropDuplicates(["blob"]).withColumn("due", wanted)
-        seen = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        due = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-        return blobs.join(seen, "blob", "left").withColumn("due", due).where(F.size("due") > 0).drop("seen").dropDuplicates(["blob"])
-
-    def update(self, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
-        """Scan what is new in ``texts`` and record it."""
-        scan(self.unseen(texts, rules), rules).write.mode("append").option("compression", "zstd").parquet(self.path)
-
-    def findings(self, paths: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """doc_id, blob and the spans of the rules' present versions for every row of ``paths``."""
-        found = self.rows().groupBy("blob").agg(F.flatten(F.collect_list(self._current(rules))).alias("found")).where(F.size("found") > 0)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
+
+    def _append(self, rows: DataFrame, name: str, by: list[str]) -> None:
+        writer = rows.write.mode("append").option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
+
+    def record(self, texts: DataFrame, version: int, doc_id: str = "doc_id") -> None:
+        """Take the rows of ``texts`` as a version of their paths, and the texts not seen before as a batch of blobs."""
+        addressed = texts.select(F.col(doc_id).alias("doc_id"), address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+        known = self._read("blobs", BLOBS).select("blob")
+        fresh = addressed.select("blob", "text").dropDuplicates(["blob"])
+        self._append(fresh.join(known, "blob", "left_anti").withColumn("batch", F.lit(uuid.uuid4().hex)), "blobs", ["batch"])
+        self._append(addressed.select("doc_id", "blob").withColumn("version", F.lit(version)), "history", [])  # unpartitioned: an empty one has its columns
+
+    def due(self, rules: tuple[Rule, ...] = RULES) -> dict[tuple[Rule, ...], list[str]]:
+        """The batches with rules that haven't scanned them, by those rules; batches are as many as records."""
+        done = defaultdict(set)
+        for r in self._read("scans", SCANS).select("batch", "rule").distinct().collect():
+            done[r.batch].add(r.rule)
+        found = defaultdict(list)
+        for r in self._read("blobs", BLOBS).select("batch").distinct().orderBy("batch").collect():
+            if missing := tuple(x for x in rules if x.key not in done[r.batch]):
+                found[missing].append(r.batch)
+        return found
+
+    def update(self, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan every pair of blob and rule version that hasn't been, and record it."""
+        for missing, batches in self.due(rules).items():
+            run = uuid.uuid4().hex
+            blobs = self._read("blobs", BLOBS).where(F.col("batch").isin(*batches))
+            self._append(scan(blobs.select("blob", "text"), missing).withColumn("run", F.lit(run)), "found", ["run"])
+            pairs = self.spark.range(1).select(F.explode(F.array(*map(F.lit, batches))).alias("batch")).select("batch", F.explode(F.array(*[F.lit(r.key) for r in missing])).alias("rule"))
+            self._append(pairs.withColumn("run", F.lit(run)), "scans", ["run"])
+
+    def spans(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """blob and its spans by the rules' present versions, from recorded runs."""
+        runs = self._read("scans", SCANS).select("run").distinct()
+        rank, wanted = F.lit(None).cast("int"), [r.key for r in rules]
+        for i, rule in reversed(list(enumerate(rules))):
+            rank = F.when(F.col("s.kind") == rule.kind, i).otherwise(rank)
+        each = self._read("found", FOUND).join(runs, "run", "left_semi").select("blob", F.explode("found").alias("s")).where(F.col("s.rule").isin(*wanted))
+        return each.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("s.start", rank.alias("rank"), "s.end", "s.kind"))).alias("found"))
+
+    def findings(self, rules: tuple[Rule, ...] = RULES, version: int | None = None) -> DataFrame:
+        """doc_id, version, blob and the spans for every recorded row, or those of one version."""
         # a written table, not an aggregate, beside a blob that very many paths hold: else Spark doesn't split a skewed join
-        found = Scratch(self.spark, "secret-findings").save(found, "found")
-        return paths.select("doc_id", address(F.col("text")).alias("blob")).join(found, "blob", "left").select("doc_id", "blob", F.sort_array(F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))).alias("found"))
-
-    @staticmethod
-    def _current(rules: tuple[Rule, ...]) -> Column:
-        """Of a ledger row, the spans of rules that it applied in the version asked for."""
-        def holds(span: Column) -> Column:
-            out = F.lit(False)
-            for r in rules:
-                out = out | ((span["kind"] == r.kind) & F.array_contains("rules", r.key))
-            return out
-
-        return F.filter("found", holds)
+        found = Scratch(self.spark, "secret-findings").save(self.spans(rules), "found")
+        rows = self.spark.read.parquet(f"{self.path}/history")
+        rows = rows if version is None else rows.where(F.col("version") == version)
+        return rows.join(found, "blob", "left").select("doc_id", "version", "blob", F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"))
 
 
 def _written(spans: Column) -> Column:
@@ -144,10 +173,12 @@ def _written(spans: Column) -> Column:
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = Ledger(spark, f"{Scratch(spark, 'secret-ledger').path}/ledger")
-    ledger.update(docs)
+    ledger.record(docs, 1)
+    ledger.update(BASE_RULES)
+    ledger.update(RULES)  # only the rules that are new
     base = [r.kind for r in BASE_RULES]
     of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
-    return ledger.findings(docs).select(
+    return ledger.findings(version=1).select(
         "doc_id",
         *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in base],
         F.sha2(_written(of(*base)), 256).alias("base_sha256"),
