@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names
 from tributary.operators import accounting, admission, bindings, merge, paths, ranges, routing, schema_rules, settings, suppression
 from tributary.plans.graph import connected, reachable
-from tributary.relations import derive, oracle
+from tributary.registry import ORACLE_SQL, QUERIES, query
+from tributary.registry import read as _read
+from tributary.relations import derive
 from tributary.sinks import outputs
 from tributary.sources import documents
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str, recursive: bool = False):
-    """Register a query, with its oracle over the derived relations ``views``."""
-
-    def registered(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = oracle(sql, *views, recursive=recursive) if views else sql
-        return f
-
-    return registered
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # the merge
@@ -89,7 +72,7 @@ seeds as (select d.component from dead d where exists (select 1 from evaluations
 arcs as (select distinct o.component src, d.component dst from dead d join dead o on o.edge = d.edge and o.side <> d.side),
 dropped as (select component from seeds union select a.dst from dropped p join arcs a on a.src = p.component)"""
 _PROMOTED = _DROPPED + """,
-kept as (select analyzer, edge, side, symbol, component from dead d where exists (select 1 from evaluations o where o.edge = d.edge and o.side <> d.side)
+kept as (select * from dead d where exists (select 1 from evaluations o where o.edge = d.edge and o.side <> d.side)
   and component not in (select component from dropped))"""
 
 
@@ -98,28 +81,61 @@ def fixpoint_dropped(spark, sf_dir):
     return merge.dropped_components(derive(spark, sf_dir, "evaluations"))
 
 
-@query(f"{_PROMOTED} select * from kept", "evaluations", recursive=True)
+@query(f"{_PROMOTED} select analyzer, edge, side, symbol, component from kept", "evaluations", recursive=True)
 def promoted(spark, sf_dir):
-    return merge.promoted(derive(spark, sf_dir, "evaluations"))
+    return merge.promoted(derive(spark, sf_dir, "evaluations")).select("analyzer", "edge", "side", "symbol", "component")
+
+
+@query(f"""{_PROMOTED} select ref, component, count(distinct edge || ' ' || side) carriers, min(edge || ' ' || side) as first from kept
+group by path, line, col, code, ref, analyzer, component""", "evaluations", recursive=True)
+def promotion_carriers(spark, sf_dir):
+    """Each promoted finding once, with the edge sides that carried it."""
+    found = merge.promotions(merge.promoted(derive(spark, sf_dir, "evaluations")))
+    return found.select("ref", "component", F.size("carriers").cast("long").alias("carriers"), F.concat_ws(" ", F.col("carriers")[0].edge, F.col("carriers")[0].side).alias("first"))
+
+
+@query("select edge, side, symbol, state from evaluations where state <> 'dead'", "evaluations")
+def surviving_evaluations(spark, sf_dir):
+    return merge.surviving(derive(spark, sf_dir, "evaluations")).select("edge", "side", "symbol", "state")
 
 
 _LABELS = _PROMOTED + """,
 l as (select distinct a.component a, b.component b from kept a join kept b on a.edge = b.edge and a.side <> b.side),
 walk as (select distinct component a, component b from kept union select w.a, l.b from walk w join l on l.a = w.b),
-labels as (select a component, min(b) label from walk group by a)"""
+sets as (select a component, min(b) s from walk group by a),
+ranked as (select component, row_number() over (order by path, line, col, code, ref, analyzer) k from kept),
+labels as (select component, first_value(component) over (partition by s order by k) label from (select component, s, min(k) k from sets join ranked using (component) group by all) f)"""
 
 
 @query(f"{_LABELS} select label, count(*) components from labels group by label", "evaluations", recursive=True)
 def component_labels(spark, sf_dir):
-    """Connected sets of components over promoted pairs, and their size."""
+    """Connected sets of components over promoted pairs, named by the one whose finding comes first, and their size."""
     kept = merge.promoted(derive(spark, sf_dir, "evaluations"))
     return merge.component_labels(kept).groupBy("label").agg(F.count("*").alias("components"))
 
 
-@query("""/*with*/ m as (select component, max(class_rank) cap from findings where root = 1 and test_only = 0 group by component)
-select f.component, greatest(class_rank, coalesce(cap, 0)) class_rank, count(*) n from findings f left join m using (component) group by all""", "findings")
+@query(f"""{_LABELS}, own as (select component, arg_min(symbols, k) symbols, arg_min(deletable, k) deletable from (select kept.*, row_number() over (order by path, line, col, code, ref, analyzer) k from kept) f group by component),
+sums as (select label, cast(sum(symbols) as bigint) symbols, cast(sum(deletable) as bigint) deletable from labels join own using (component) group by label)
+select component, label, symbols, deletable from labels join sums using (label)""", "evaluations", recursive=True)
+def joined_sums(spark, sf_dir):
+    """Counts summed over the joined sets."""
+    kept = merge.promoted(derive(spark, sf_dir, "evaluations"))
+    return merge.joined_sums(kept, merge.component_labels(kept))
+
+
+@query(f"""{_LABELS}, caps as (select label, max(class_rank) cap from kept join labels using (component) where root = 1 and test_only = 0 group by label)
+select ref, greatest(class_rank, coalesce(cap, 0)) class_rank from kept join labels using (component) left join caps using (label)""", "evaluations", recursive=True)
 def confidence_cap(spark, sf_dir):
-    return merge.capped(derive(spark, sf_dir, "findings")).groupBy("component", "class_rank").agg(F.count("*").alias("n"))
+    """Promoted findings, each at the lowest class of its joined set's roots at most."""
+    kept = merge.promoted(derive(spark, sf_dir, "evaluations"))
+    return merge.capped(kept, merge.component_labels(kept)).select("ref", "class_rank")
+
+
+@query(f"{_LABELS} select label, string_agg(distinct ref, ',' order by ref) members from kept join labels using (component) group by label", "evaluations", recursive=True)
+def component_listing(spark, sf_dir):
+    """The members of every joined set."""
+    kept = merge.promoted(derive(spark, sf_dir, "evaluations"))
+    return merge.component_members(merge.component_labels(kept), kept).select("label", F.array_join("members", ",").alias("members"))
 
 
 @query("select component, count(*) symbols, cast(sum(deletable) as bigint) deletable, count(*) filter (root = 1) roots from findings group by component", "findings")
@@ -135,11 +151,37 @@ def distinct_lines(spark, sf_dir):
     return accounting.distinct_lines(derive(spark, sf_dir, "findings"), ["component"])
 
 
-@query("""/*with*/ d as (select component, count(distinct path || chr(0) || l) as lines from (select component, path, unnest(generate_series(line, end_line)) l from findings) group by component),
-s as (select component, cast(sum(end_line - line + 1) as bigint) summed from findings group by component)
-select component, summed, lines, summed - lines excess from s join d using (component)""", "findings")
+_SHARED = """/*with*/ each as (select distinct ref, path, line, end_line, component from carriers),
+links as (select distinct a.component a, b.component b from each a join each b using (ref, path, line, end_line)),
+walk as (select distinct component a, component b from each union select w.a, l.b from walk w join links l on l.a = w.b),
+labels as (select a component, min(b) label from walk group by a)"""
+
+
+@query(f"""{_SHARED}, several as (select ref, path, line, end_line, count(*) k from each group by all having count(*) > 1),
+s as (select label, component, ref, path, line, end_line, k from each join several using (ref, path, line, end_line) join labels using (component)),
+lines as (select label, component, path, unnest(generate_series(line, end_line)) l from s),
+summed as (select label, sum(n) n from (select label, component, count(distinct path || chr(0) || l) n from lines group by label, component) group by label),
+together as (select label, count(distinct path || chr(0) || l) n from lines group by label),
+symbols as (select label, cast(sum(k - 1) as bigint) symbols from (select distinct label, ref, path, line, end_line, k from s) group by label)
+select label, symbols, cast(summed.n - together.n as bigint) as lines from symbols join summed using (label) join together using (label)""", "carriers", recursive=True)
 def shared_line_correction(spark, sf_dir):
-    return accounting.shared_line_correction(derive(spark, sf_dir, "findings"))
+    """What the summed counts of joined sets hold too often, for findings that several of their components carry."""
+    carriers = derive(spark, sf_dir, "carriers")
+    each = carriers.select("ref", "component").distinct()
+    hubs = each.groupBy("ref").agg(F.min("component").alias("a"))
+    labels = connected(each.join(hubs, "ref").select("a", F.col("component").alias("b")).distinct()).toDF("component", "label")
+    return accounting.shared_line_correction(carriers, labels)
+
+
+@query("""/*with*/ b as (select distinct ref from findings where severity_rank = 2 and class_rank > 0),
+m as (select f.*, b.ref is not null blocked from findings f left join b on b.ref = f.ref),
+l as (select component, blocked, path || chr(0) || unnest(generate_series(line, end_line)) l from m),
+c as (select component, count(*) filter (blocked) symbols from m group by component having count(*) filter (blocked) > 0 and count(*) filter (not blocked) > 0)
+select component, symbols, (select count(distinct l) from l where l.component = c.component) - (select count(distinct l) from l where l.component = c.component and not blocked) as lines from c""", "findings")
+def unpromoted_debit(spark, sf_dir):
+    """What blocked findings take from components that keep others."""
+    found = derive(spark, sf_dir, "findings")
+    return accounting.unpromoted_debit(found, found.where("severity_rank = 2 and class_rank > 0"))
 
 
 @query("""select count(*) findings, count(*) filter (severity_rank = 0) allow, count(*) filter (severity_rank = 1) warn, count(*) filter (severity_rank = 2) deny,
@@ -155,20 +197,45 @@ def top_k_cap(spark, sf_dir):
     return accounting.cap(found, 100, [F.desc("deletable"), *merge.CANONICAL]).select("ref", "path", "deletable")
 
 
-@query("select distinct code from findings where severity_rank >= 2", "findings")
+_VOCABULARY = ["DS3002", "DS1001", "DS2001", "DS2002", "DS9001", "DS3001", "DS1002"]
+
+
+@query(f"""/*with*/ v(place, code) as (values {", ".join(str((i, c)) for i, c in enumerate(_VOCABULARY))})
+select place, code from v where code in (select code from findings where severity_rank >= 2)""", "findings")
 def failing_subjects(spark, sf_dir):
-    return derive(spark, sf_dir, "findings").where("severity_rank >= 2").select("code").distinct()
+    """The failing codes in the vocabulary's order."""
+    vocabulary = spark.createDataFrame(list(enumerate(_VOCABULARY)), "place int, code string")
+    return accounting.failing_subjects(derive(spark, sf_dir, "findings"), 2, vocabulary)
+
+
+@query("""/*with*/ k as (select *, row_number() over (order by deletable desc, path, line, col, code, ref, analyzer) n from findings)
+select ref, cast(row_number() over (order by path, line, col, code, ref, analyzer) as integer) place, (select count(*) - 100 from findings) omitted from k where n <= 100""", "findings")
+def capped_report(spark, sf_dir):
+    """What the cap by size keeps, back in canonical order, and how many it omits."""
+    kept, omitted = accounting.capped_report(derive(spark, sf_dir, "findings"), 100, [F.desc("deletable"), *merge.CANONICAL], list(merge.CANONICAL))
+    return kept.crossJoin(F.broadcast(omitted)).select("ref", "place", "omitted")  # one row
 
 
 _LEVELS = [("DS1001", 2), ("DS2", 0), ("DS3002", 1), ("DS3", 2)]
+_LEVEL_SQL = f"""/*with*/ lv(code, level) as (values {", ".join(map(str, _LEVELS))}),
+l as (select f.*, coalesce(x.level, y.level) configured from findings f left join lv x on x.code = f.code left join lv y on y.code = substr(f.code, 1, 3))"""
 
 
-@query(f"""/*with*/ lv(code, level) as (values {", ".join(map(str, _LEVELS))})
-select f.code, coalesce(x.level, y.level, severity_rank) severity_rank, count(*) n from findings f left join lv x on x.code = f.code left join lv y on y.code = substr(f.code, 1, 3)
-where coalesce(x.level, y.level, severity_rank) > 0 group by all""", "findings")
+@query(f"{_LEVEL_SQL} select code, coalesce(configured, severity_rank) severity_rank, count(*) n from l group by all", "findings")
 def severity_lookup(spark, sf_dir):
+    """By exact code, else by family, else as it is."""
     levels = spark.createDataFrame(_LEVELS, "code string, level int")
-    return accounting.restate(derive(spark, sf_dir, "findings"), levels).groupBy("code", "severity_rank").agg(F.count("*").alias("n"))
+    looked = accounting.severity_of(derive(spark, sf_dir, "findings"), levels)
+    return looked.groupBy("code", F.coalesce("configured", "severity_rank").alias("severity_rank")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_LEVEL_SQL} select code, analyzer, case when own and configured is not null then configured else severity_rank end severity_rank, count(*) n
+from (select l.* replace (case when analyzer = 'an0' then '' else analyzer end as analyzer), analyzer = 'an0' own from l) f where not (own and configured is not null and configured = 0) group by all""", "findings")
+def severity_restated(spark, sf_dir):
+    """Findings without an analyzer take the configured severity and leave at allow; all others stay as they are."""
+    levels = spark.createDataFrame(_LEVELS, "code string, level int")
+    found = derive(spark, sf_dir, "findings").withColumn("analyzer", F.when(F.col("analyzer") == "an0", "").otherwise(F.col("analyzer")))
+    return accounting.restate(found, levels).groupBy("code", "analyzer", "severity_rank").agg(F.count("*").alias("n"))
 
 
 @query("select case when count(*) filter (severity_rank >= 2) > 0 then 1 else 0 end exit_code from findings", "findings")
@@ -256,16 +323,15 @@ def routing_uncovered(spark, sf_dir):
     return routing.uncovered_languages(*_route_sides(spark, sf_dir))
 
 
-@query("""/*with*/ u as (select distinct 'root://' || (col % 4) || '/' || substr(code, 3) ref, 'root://' || (col % 4) scheme, analyzer from findings where deletable % 7 < 2 and component like '%/c-1'),
-rd as (select distinct 'root://' || (col % 4) scheme, analyzer from findings where component like '%/c-1' and col % 4 <> 1 or analyzer = 'an0')
+@query("""/*with*/ u as (select distinct 'root://' || col || '/' || path ref, 'root://' || col scheme, analyzer from findings where class_rank = 0),
+rd as (select distinct 'root://' || col scheme, analyzer from findings where root = 1 or analyzer <> 'an1')
 select distinct ref, analyzer from u where (select count(distinct analyzer) from u v where v.ref = u.ref) >= (select count(distinct analyzer) from rd where rd.scheme = u.scheme)
 and exists (select 1 from rd where rd.scheme = u.scheme)""", "findings")
 def unmatched_roots(spark, sf_dir):
     found = derive(spark, sf_dir, "findings")
-    scheme = F.concat(F.lit("root://"), F.col("col") % 4)
-    some = found.where("component like '%/c-1'")
-    reported = some.where("deletable % 7 < 2").select(F.concat(scheme, F.lit("/"), F.substr("code", F.lit(3))).alias("ref"), scheme.alias("scheme"), "analyzer").distinct()
-    readers = found.where("component like '%/c-1' and col % 4 <> 1 or analyzer = 'an0'").select(scheme.alias("scheme"), "analyzer").distinct()
+    scheme = F.concat(F.lit("root://"), "col")
+    reported = found.where("class_rank = 0").select(F.concat(scheme, F.lit("/"), "path").alias("ref"), scheme.alias("scheme"), "analyzer").distinct()
+    readers = found.where("root = 1 or analyzer <> 'an1'").select(scheme.alias("scheme"), "analyzer").distinct()
     return routing.unmatched_roots(reported, readers)
 
 
@@ -282,16 +348,15 @@ def suffix_file_join(spark, sf_dir):
     return paths.same_file(files, spark.sql(_SHORT))
 
 
-_DIRS = "select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as dir from files where file_id % 3 = 0 and path like '%/%/%'"
+_DIRS = "select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as dir from files where path like '%/%/%' union select distinct split_part(path, '/', 1) from files"
 
 
-@query(f"""/*with*/ d as ({_DIRS} union select distinct split_part(path, '/', 1) from files where file_id % 2 = 0), l as (select distinct path from files)
+@query(f"""/*with*/ d as ({_DIRS}), l as (select distinct path from files)
 select l.path, arg_max(d.dir, length(d.dir)) dir from l left join d on l.path = d.dir or starts_with(l.path, d.dir || '/') group by l.path""", "files")
 def prefix_join(spark, sf_dir):
     files = derive(spark, sf_dir, "files")
     files.createOrReplaceTempView("files")
-    dirs = spark.sql(f"{_DIRS} union select distinct split_part(path, '/', 1) from files where file_id % 2 = 0")
-    return paths.nearest_ancestor(files, dirs)
+    return paths.nearest_ancestor(files, spark.sql(_DIRS))
 
 
 @query("select split_part(path, '.', 1) host, count(*) hits from files where regexp_matches(path, '^.*example.*/[a-z][a-z]/.*$') group by 1", "files")
@@ -326,14 +391,14 @@ def census(spark, sf_dir):
 # suppressions
 
 @query("""with s as (select source path, cast(doc_id as varchar) symbol, case when toxic = 1 then null else 'because' end reason, quality from labels join documents using (doc_id)),
-d as (select source path, cast(doc_id as varchar) symbol from documents where doc_id % 3 <> 0)
+d as (select source path, cast(doc_id as varchar) symbol from documents where lang <> 'de')
 select s.path, count(*) filter (d.symbol is not null) in_effect, count(*) filter (d.symbol is not null and reason is not null) reasons, count(*) filter (d.symbol is null) stale
 from s left join d on s.symbol = d.symbol and s.path = d.path group by s.path""")
 def suppression_binding(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     known = _read(spark, sf_dir, "labels").join(docs, "doc_id")
     wanted = known.select(F.col("source").alias("path"), F.col("doc_id").cast("string").alias("symbol"), F.when(F.col("toxic") == 1, None).otherwise("because").alias("reason"))
-    there = docs.where("doc_id % 3 <> 0").select(F.col("source").alias("path"), F.col("doc_id").cast("string").alias("symbol"))
+    there = docs.where("lang <> 'de'").select(F.col("source").alias("path"), F.col("doc_id").cast("string").alias("symbol"))
     return suppression.counts(suppression.bind(wanted, there))
 
 
@@ -371,18 +436,18 @@ def unique_numbers(spark, sf_dir):
     return ranges.repeated(derive(spark, sf_dir, "ranges"), ["owner", "s"], ["member"]).select("owner", "s", "member")
 
 
-@query("""/*with*/ r as (select src as node from links where src % 97 = 0 union select l.dst from r join links l on l.src = r.node) select node from r""", "links", recursive=True)
+@query("""/*with*/ r as (select src as node from links where seed union select l.dst from r join links l on l.src = r.node) select node from r""", "links", recursive=True)
 def reachability(spark, sf_dir):
+    """Orders that a dear one leads to."""
     links = derive(spark, sf_dir, "links")
-    return reachable(links.where("src % 97 = 0").select(F.col("src").alias("node")), links)
+    return reachable(links.where("seed").select(F.col("src").alias("node")), links)
 
 
-@query("""/*with*/ u as (select src a, dst b from links where src <> dst and src % 4 = 0 and dst % 3 = 0 union select dst, src from links where src <> dst and src % 4 = 0 and dst % 3 = 0),
+@query("""/*with*/ u as (select src a, dst b from links union select dst, src from links),
 w as (select a, b from u union select w.a, u.b from w join u on u.a = w.b)
 select a node, least(a, min(b)) label from w group by a""", "links", recursive=True)
 def connected_sets(spark, sf_dir):
-    links = derive(spark, sf_dir, "links").where("src % 4 = 0 and dst % 3 = 0")
-    return connected(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return connected(derive(spark, sf_dir, "links").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 # binding facts
@@ -447,6 +512,48 @@ def binding_joins(spark, sf_dir):
     return bindings.joins(records, bindings.live_nodes(records))
 
 
+@query(f"""{_BINDINGS.replace("reached as (select node from seeds union select a.dst from reached r join arcs a on a.src = r.node)", "")}
+low as (select distinct component from graded where class_rank > 1),
+reached as (select node from (select node from seeds union select component from low) s union select a.dst from reached r join arcs a on a.src = r.node)
+select node component from reached where node not like '#%'""", "records", recursive=True)
+def withheld_seeds(spark, sf_dir):
+    """What drops where a minimum confidence of probable holds components back too."""
+    return bindings.dropped(bindings.live_nodes(_records(spark, sf_dir), minimum=1))
+
+
+@query(f"""{_BINDINGS.replace("reached as (select node from seeds union select a.dst from reached r join arcs a on a.src = r.node)", "")}
+low as (select component, max(class_rank) - 1 as level from graded group by component having max(class_rank) > 0),
+levels as (select unnest([0, 1]) level),
+reached as (select level, node from levels, seeds union select level, component from low join levels using (level) union select v.level, l.component from low l join levels v on v.level < l.level
+  union select r.level, a.dst from reached r join arcs a on a.src = r.node),
+base as (select node from seeds union select a.dst from base b join arcs a on a.src = b.node),
+kept as (select idx, component, class_rank from graded where component not in (select node from base)
+  union all select idx, component, class_rank from records where role = 'implementer' and state = 'dead' and component not in (select node from base))
+select level, count(*) n from kept k join levels v on exists (select 1 from reached r where r.level = v.level and r.node = k.component) group by level""", "records", recursive=True)
+def withheld_counts(spark, sf_dir):
+    """For each minimum confidence how many promotions it holds back."""
+    return bindings.withheld_counts(_records(spark, sf_dir), [0, 1])
+
+
+_JOINT = f"""{_BINDINGS.replace("reached as (select node from seeds union select a.dst from reached r join arcs a on a.src = r.node)", "")}
+pairs as (select 'wire/' || (idx % 4001) as edge, case when role = 'schema' then 'provides' else 'used_by' end as side, case when idx % 53 = 0 then 'live' else 'dead' end as state, component from records where role in ('schema', 'implementer')),
+deadp as (select * from pairs where state = 'dead'),
+pair_seeds as (select d.component node from deadp d where exists (select 1 from pairs o where o.edge = d.edge and o.side <> d.side)
+  and (exists (select 1 from pairs o where o.edge = d.edge and o.side <> d.side and o.state = 'live') or not exists (select 1 from pairs o where o.edge = d.edge and o.side <> d.side and o.state = 'dead'))),
+pair_arcs as (select distinct o.component src, d.component dst from deadp d join deadp o on o.edge = d.edge and o.side <> d.side),
+all_arcs as (select src, dst from arcs union select src, dst from pair_arcs),
+reached as (select node from (select node from seeds union select node from pair_seeds) s union select a.dst from reached r join all_arcs a on a.src = r.node)"""
+
+
+@query(f"{_JOINT} select node component from reached where node not like '#%'", "records", recursive=True)
+def joint_fixpoint(spark, sf_dir):
+    """Components that the edge rule and the binding rules drop together, each reading what the other drops."""
+    records = _records(spark, sf_dir)
+    pairs = records.where("role in ('schema', 'implementer')").selectExpr(
+        "analyzer", "'wire/' || (idx % 4001) as edge", "case when role = 'schema' then 'provides' else 'used_by' end as side", "symbol", "case when idx % 53 = 0 then 'live' else 'dead' end as state", "component")
+    return bindings.dropped(bindings.live_nodes(records, evaluations=pairs))
+
+
 @query(f"{_BINDINGS} select schema_file from graded group by schema_file having not bool_or(is_bound)", "records", recursive=True)
 def unbound_schema_notes(spark, sf_dir):
     return bindings.unbound_files(_records(spark, sf_dir))
@@ -473,16 +580,15 @@ def vendored_copies(spark, sf_dir):
     return schema_rules.vendored(derive(spark, sf_dir, "findings").select("path", package.alias("package")).distinct(), _UPSTREAM)
 
 
-@query("""/*with*/ d as (select distinct src as ref, case when src % 97 = 0 then 'service' when src % 5 = 0 then 'rpc' else 'message' end kind, src % 194 = 0 http, src % 11 = 0 unknown_generation, src % 13 = 0 explicit_json from links),
-r as (select ref from d where kind = 'service' and http union select l.dst from r join links l on l.src = r.ref and l.dst % 3 = 0)
+@query("""/*with*/ d as (select distinct src as ref, case when src % 7 = 0 then 'service' when src % 5 = 0 then 'rpc' else 'message' end kind, src % 14 = 0 http, src % 11 = 0 unknown_generation, src % 13 = 0 explicit_json from links),
+r as (select ref from d where kind = 'service' and http union select l.dst from r join links l on l.src = r.ref)
 select ref, case when kind in ('service', 'rpc') or unknown_generation or explicit_json or ref in (select ref from r) then 2 else 1 end class_rank from d""", "links", recursive=True)
 def declaration_classes(spark, sf_dir):
     links = derive(spark, sf_dir, "links")
     declared = links.select(F.col("src").alias("ref")).distinct().selectExpr(
-        "ref", "case when ref % 97 = 0 then 'service' when ref % 5 = 0 then 'rpc' else 'message' end as kind",
-        "ref % 194 = 0 as http", "ref % 11 = 0 as unknown_generation", "ref % 13 = 0 as explicit_json")
-    reached = schema_rules.http_reached(declared, links.where("dst % 3 = 0"))
-    return schema_rules.classified(declared, reached, closed=False).select("ref", "class_rank")
+        "ref", "case when ref % 7 = 0 then 'service' when ref % 5 = 0 then 'rpc' else 'message' end as kind",
+        "ref % 14 = 0 as http", "ref % 11 = 0 as unknown_generation", "ref % 13 = 0 as explicit_json")
+    return schema_rules.classified(declared, schema_rules.http_reached(declared, links), closed=False).select("ref", "class_rank")
 
 
 @query("""with v as (select l_orderkey enum, l_linenumber place, min(l_partkey % 9) number, l_orderkey || '.' || l_linenumber ref, l_orderkey % 2 = 0 open from lineitem group by l_orderkey, l_linenumber),
@@ -558,3 +664,6 @@ def name_styles(spark, sf_dir):
 @query("select page_id, split_part(url, '://', 1) scheme, len(regexp_split_to_array(html, '\\r\\n|\\r|\\n')) lines from pages")
 def ref_schemes(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", names.scheme("url").alias("scheme"), F.size(names.log_lines("html")).cast("long").alias("lines"))
+
+
+from tributary import catalog_more  # noqa: E402, F401  its queries are registered on import

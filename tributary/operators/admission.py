@@ -21,8 +21,8 @@ def repeated_names(inputs: DataFrame) -> DataFrame:
 
 def other_targets(inputs: DataFrame) -> DataFrame:
     """Inputs whose target isn't the first input's: linear, as the first offending pair always has it."""
-    first = inputs.agg(F.min_by("target_root", "ord").alias("first_root")).first()["first_root"]
-    return inputs.where(F.col("target_root") != first).select("ord", "name", "target_root")
+    first = inputs.agg(F.min_by("target_root", "ord").alias("first_root"))
+    return inputs.crossJoin(F.broadcast(first)).where("target_root <> first_root").select("ord", "name", "target_root")  # one row
 
 
 def collisions(rows: DataFrame, key: str, identity: list[str]) -> DataFrame:

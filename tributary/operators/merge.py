@@ -65,19 +65,18 @@ def pair_graph(evaluations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A dead evaluation's component is a seed if another side of its edge is live, or none
     is dead. If a component falls, so do those whose dead evaluations lean on it. Arcs go
-    through a node for each edge and side, so they stay linear in the evaluations.
+    through one node for each edge and side, which stands for "another side of this edge
+    reads live", so they stay linear in the evaluations and two of them are one edge.
     """
     dead = evaluations.where("state = 'dead'")
     judged = dead.join(_others(evaluations), ["edge", "side"])
     seeds = judged.where("other_live = 1 or other_dead = 0").select(F.col("component").alias("node"))
-    side = lambda e, s: F.concat(F.lit("\0"), e, F.lit("\0"), s)
-    up = dead.select(F.col("component").alias("src"), side(F.col("edge"), F.col("side")).alias("dst"))
+    side = lambda s: F.concat(F.lit("\0"), F.col("edge"), F.lit("\0"), F.col(s))
     sides = dead.select("edge", "side").distinct()
     across = sides.join(sides.select("edge", F.col("side").alias("other")), "edge").where("side <> other")
-    over = across.select(F.concat(F.lit("\0from"), side(F.col("edge"), F.col("side"))).alias("src"), F.concat(F.lit("\0to"), side(F.col("edge"), F.col("other"))).alias("dst"))
-    up = up.withColumn("dst", F.concat(F.lit("\0from"), "dst"))
-    down = dead.select(F.concat(F.lit("\0to"), side(F.col("edge"), F.col("side"))).alias("src"), F.col("component").alias("dst"))
-    return seeds, up.unionByName(over).unionByName(down)
+    up = dead.join(across, ["edge", "side"]).select(F.col("component").alias("src"), side("other").alias("dst"))
+    down = dead.select(side("side").alias("src"), F.col("component").alias("dst"))
+    return seeds, up.unionByName(down)
 
 
 def dropped_components(evaluations: DataFrame) -> DataFrame:
@@ -87,22 +86,55 @@ def dropped_components(evaluations: DataFrame) -> DataFrame:
 
 
 def promoted(evaluations: DataFrame) -> DataFrame:
-    """Dead evaluations that survive, with their component: the pending findings that are reported."""
+    """Dead evaluations that survive, with all their columns: the pending findings that are reported."""
     answered = evaluations.where("state = 'dead'").join(_others(evaluations), ["edge", "side"], "left_semi")
-    return answered.join(dropped_components(evaluations), "component", "left_anti").select("analyzer", "edge", "side", "symbol", "component")
+    return answered.join(dropped_components(evaluations), "component", "left_anti")
 
 
-def component_labels(kept: DataFrame) -> DataFrame:
-    """component, label: components that promotions of one edge's sides join, by their smallest member.
+def promotions(kept: DataFrame) -> DataFrame:
+    """One row per promoted finding: its canonical key and component, with every edge side that carried it (carriers, sorted)."""
+    key = [c for c in CANONICAL if c in kept.columns]
+    carriers = F.array_sort(F.collect_set(F.struct("edge", "side"))).alias("carriers")
+    return kept.groupBy(*key, "component").agg(carriers)
+
+
+def surviving(evaluations: DataFrame) -> DataFrame:
+    """The evaluations that a merged report keeps: live and absent ones."""
+    return evaluations.where("state <> 'dead'")
+
+
+def component_labels(kept: DataFrame, joins: DataFrame | None = None) -> DataFrame:
+    """component, label: components that promotions of one edge's sides join, and binding joins (component, other), by
+    the one whose promoted finding comes first in canonical order.
 
     Links go through the edge, so an edge with many promotions gives no pairs.
     """
     sides = kept.groupBy("edge").agg(F.count_distinct("side").alias("n"))
     joined = kept.join(sides.where("n > 1"), "edge", "left_semi")
     hubs = joined.groupBy("edge").agg(F.min("component").alias("a"))
-    labels = connected(joined.join(hubs, "edge").select("a", F.col("component").alias("b")).distinct())
-    every = kept.select("component").distinct()
-    return every.join(labels, F.col("component") == F.col("node"), "left").select("component", F.coalesce("label", "component").alias("label"))
+    links = joined.join(hubs, "edge").select("a", F.col("component").alias("b"))
+    if joins is not None:
+        links = links.union(joins.select("component", "other"))
+    labels = connected(links.distinct())
+    first = kept.groupBy("component").agg(F.min(F.struct(*CANONICAL)).alias("place"))
+    every = first.select("component") if joins is None else first.select("component").union(joins.select("component")).union(joins.select("other")).distinct()
+    sets = every.join(labels, F.col("component") == F.col("node"), "left").select("component", F.coalesce("label", "component").alias("connected_set"))
+    placed = sets.join(first, "component", "left")
+    # a component without a promoted finding of its own is only reached after one that has
+    named = placed.groupBy("connected_set").agg(F.min(F.struct(F.col("place").isNull().alias("late"), "place", "component")).alias("first"))
+    return sets.join(named, "connected_set").select("component", F.col("first.component").alias("label"))
+
+
+def joined_sums(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """component, label, symbols, deletable: counts summed over the joined set, each component's own as its first finding carries them."""
+    own = first_per(kept.select("component", "symbols", "deletable", *CANONICAL), ["component"], list(CANONICAL)).select("component", "symbols", "deletable")
+    set_of = labels.join(own, "component", "left").groupBy("label").agg(F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"), F.coalesce(F.sum("deletable"), F.lit(0)).alias("deletable"))
+    return labels.join(set_of, "label").select("component", "label", "symbols", "deletable")
+
+
+def component_members(labels: DataFrame, findings: DataFrame) -> DataFrame:
+    """label, members: the distinct refs of all findings of a joined set, ascending; written as one row a set, as a listing has it."""
+    return findings.join(labels, "component").groupBy("label").agg(F.array_sort(F.collect_set("ref")).alias("members"))
 
 
 def stale_edges(evaluations: DataFrame) -> DataFrame:
@@ -111,10 +143,8 @@ def stale_edges(evaluations: DataFrame) -> DataFrame:
     return absent.withColumn("number", F.row_number().over(Window.orderBy("edge")))  # as many rows as stale edges
 
 
-def confidence_caps(findings: DataFrame) -> DataFrame:
-    """Per component the lowest class (largest rank) of its roots that aren't test-only; members are capped to it."""
-    return findings.where("root = 1 and test_only = 0").groupBy("component").agg(F.max("class_rank").alias("cap"))
-
-
-def capped(findings: DataFrame) -> DataFrame:
-    return findings.join(confidence_caps(findings), "component", "left").withColumn("class_rank", F.greatest("class_rank", F.coalesce("cap", F.lit(0)))).drop("cap")
+def capped(findings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Findings with the class of their joined set's roots that aren't test-only, if that is lower (a larger rank); others as they are."""
+    known = findings.join(labels, "component", "left")
+    caps = known.where("root = 1 and test_only = 0 and label is not null").groupBy("label").agg(F.max("class_rank").alias("cap"))
+    return known.join(caps, "label", "left").withColumn("class_rank", F.greatest("class_rank", F.coalesce("cap", F.lit(0)))).drop("cap")

@@ -1,54 +1,74 @@
-"""Reachability and connected sets as rounds of joins over checkpoints."""
+"""Reachability and connected sets as rounds of joins over written tables."""
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 100
+from tributary.plans.tables import Tables
 
+FOLD_ROUNDS = 6  # rounds after which what is known becomes one table and arcs get shortcuts
+DOUBLINGS = 3  # of the steps that an arc may stand for, each time
+MOST_ARCS = 64  # arcs that a node may have for and with its shortcuts
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder that spark.checkpoint.dir names; a temporary one only on a local master without it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tributary-checkpoints-"))
-    return df.checkpoint(eager=True)
 
+def reachable(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
+    """node: everything reachable from ``seeds`` (node) along ``arcs`` (src, dst), however long the way.
 
-def reachable(seeds: DataFrame, arcs: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """node: everything reachable from ``seeds`` (node) along ``arcs`` (src, dst).
-
-    Semi-naive: each round joins only the frontier with the arcs and takes off what
-    is known; ``arcs`` stays partitioned by src.
+    Semi-naive: each round takes two steps from what was new in the last one only, and
+    writes only what is new again. Where many rounds are needed, nodes not reached
+    yet get arcs to all that two of their arcs reach, as long as those are few; so
+    long chains take rounds by the logarithm of their length.
     """
-    arcs = cut(arcs.select("src", "dst").where("src <> dst").distinct().repartition("src"))
-    known = frontier = cut(seeds.select("node").distinct())
-    for _ in range(most_rounds):
-        stepped = frontier.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(stepped.join(known, "node", "left_anti"))
+    tables = Tables(seeds.sparkSession, "reachable")
+    arcs = tables.save(arcs.select("src", "dst").where("src <> dst").distinct())
+    frontier = tables.save(seeds.select("node").distinct())
+    known = [frontier]
+    for k in count(1):  # ends: every round adds nodes
+        once = _step(frontier, arcs)
+        twice = _step(once, arcs)
+        everything = reduce(DataFrame.union, known)
+        frontier = tables.save(once.union(twice).distinct().join(everything, "node", "left_anti"))
         if frontier.isEmpty():
-            return known
-        known = cut(known.unionByName(frontier))
-    raise RuntimeError(f"new nodes still appear after {most_rounds} rounds")
+            break
+        known.append(frontier)
+        if k % FOLD_ROUNDS == 0:
+            behind = tables.save(reduce(DataFrame.union, known[:-1]))
+            arcs = arcs.join(behind, F.col("src") == F.col("node"), "left_anti")
+            for _ in range(DOUBLINGS):
+                arcs = tables.save(_with_shortcuts(arcs))
+            known = [behind, frontier]
+    return everything
+
+
+def _step(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    return nodes.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+
+
+def _with_shortcuts(arcs: DataFrame) -> DataFrame:
+    """The arcs, and those that two of them make from nodes that have MOST_ARCS at most with them."""
+    degrees = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    ahead = arcs.join(degrees, F.col("dst") == F.col("node")).select("src", "dst", "n")
+    few = ahead.groupBy("src").agg((F.sum("n") + F.count("*")).alias("n")).where(F.col("n") <= MOST_ARCS).select("src")
+    second = arcs.select(F.col("src").alias("middle"), F.col("dst").alias("end"))
+    two = arcs.join(few, "src", "left_semi").join(second, F.col("dst") == F.col("middle")).select("src", F.col("end").alias("dst"))
+    return arcs.union(two.where("src <> dst")).distinct()
 
 
-def connected(links: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links (a, b) lead to. Labels double their reach each round."""
+    tables = Tables(links.sparkSession, "connected")
     both = links.select("a", "b").where("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(most_rounds):
+    both = tables.save(both.union(both.select("b", "a")).distinct())
+    labels = tables.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:  # ends: labels only become smaller
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("at")).select("node", "label", F.least("label", "near").alias("step"))
         ahead = labels.select(F.col("node").alias("to"), F.col("label").alias("jump"))
-        moved = cut(step.join(ahead, F.col("step") == F.col("to"), "left").select("node", F.least("step", "jump").alias("next"), "label"))
+        moved = tables.save(step.join(ahead, F.col("step") == F.col("to"), "left").select("node", F.least("step", "jump").alias("next"), "label"))
         labels = moved.select("node", F.col("next").alias("label"))
         if moved.where("next < label").isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")

@@ -14,8 +14,15 @@ DERIVED = {
 select 'an' || (o_custkey % 2) as analyzer, 'wire/' || (o_orderkey % 7001) as edge,
        case when o_custkey % 2 = 0 then 'provides' else 'used_by' end as side, 's' || o_orderkey as symbol,
        case when o_totalprice > 498000 then 'live' when o_totalprice < 2000 then 'absent' else 'dead' end as state,
-       'an' || (o_custkey % 2) || '/c-' || (o_orderkey % 9973) as component
+       'an' || (o_custkey % 2) || '/c-' || (o_orderkey % 9973) as component,
+       'p' || (o_orderkey % 89) || '.go' as path, cast(o_orderkey % 401 + 1 as int) as line, cast(o_orderkey % 401 + 1 + o_custkey % 6 as int) as end_line, cast(o_custkey % 5 as int) as col,
+       'DS' || (o_custkey % 3 + 1) || '001' as code, 's' || o_orderkey as ref, cast(o_custkey % 4 + 1 as int) as symbols, cast(o_orderkey % 23 as int) as deletable,
+       cast(o_custkey % 3 as int) as class_rank, cast(o_orderkey % 3 = 0 as int) as root, cast(o_orderkey % 7 = 0 as int) as test_only
 from orders"""),
+    "carriers": ("lineitem", """
+select 'f' || l_partkey as ref, 'pkg' || (l_partkey % 40) || '.go' as path, cast(l_partkey % 300 + 1 as int) as line, cast(l_partkey % 300 + 1 + l_partkey % 7 as int) as end_line,
+       'go/c-' || (l_partkey % 40) || '-' || (l_suppkey % 6) as component
+from lineitem"""),
     "findings": ("lineitem", """
 select 'an' || (l_suppkey % 3) as analyzer, 'pkg' || (l_partkey % 50) || '/f' || (l_partkey % 200) || '.go' as path,
        cast(l_orderkey % 500 + 1 as int) as line, cast(l_orderkey % 500 + 1 + cast(l_quantity as int) % 20 as int) as end_line,
@@ -52,8 +59,9 @@ select idx, case when r between 4 and 7 then 'wire' else 'go' end as analyzer,
        case when r between 4 and 7 and q % 5 = 0 then 'm' || cast(floor((q * 4 + r - 4) / 2) as bigint) end as uses_list,
        case when r = 4 then 'm' || (q * 4 + 1) || ',m' || (q * 4 + 2) end as members_list
 from n"""),
-    "links": ("lineitem", """
-select distinct l_partkey % 1500 as src, l_suppkey * 17 % 1500 as dst from lineitem where l_linenumber = 1 and l_orderkey % 9 = 0"""),
+    "links": ("orders", """
+select src, dst, seed from (select o_orderkey as src, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as dst, o_totalprice > 400000 as seed,
+       o_orderstatus as status, lead(o_orderstatus) over (partition by o_custkey order by o_orderkey) as next_status from orders) f where status = next_status"""),
 }
 
 
