@@ -59,6 +59,32 @@ select idx, case when r between 4 and 7 then 'wire' else 'go' end as analyzer,
        case when r between 4 and 7 and q % 5 = 0 then 'm' || cast(floor((q * 4 + r - 4) / 2) as bigint) end as uses_list,
        case when r = 4 then 'm' || (q * 4 + 1) || ',m' || (q * 4 + 2) end as members_list
 from n"""),
+    "symbols": ("orders", """
+select o_orderkey as ord, case when o_orderkey % 10 = 0 then 'pkg' || (o_custkey % 30) when o_orderkey % 37 = 0 then 'pkg' || (o_custkey % 30) || '.M' || (o_orderkey % 300) || '.M' || (o_custkey % 40)
+       else 'pkg' || (o_custkey % 30) || '.M' || (o_orderkey % 300) end as full_name,
+       case when o_orderkey % 10 = 0 and o_totalprice < 400000 then 'package' when o_orderkey % 3 = 0 then 'enum' when o_orderkey % 7 = 0 then 'field' else 'message' end as kind, 'f' || (o_custkey % 13) || '.proto' as file
+from orders"""),
+    "type_names": ("lineitem", """
+select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as idx,
+       'pkg' || (l_partkey % 30) || '.M' || (l_orderkey % 300) || '.f' as relative_to,
+       case l_linenumber % 4 when 0 then 'M' || (l_suppkey % 40) when 1 then 'pkg' || (l_suppkey % 33) || '.M' || (l_partkey % 300) when 2 then '.pkg' || (l_suppkey % 33) || '.M' || (l_partkey % 300)
+       else 'M' || (l_orderkey % 300) || '.M' || (l_suppkey % 40) end as name,
+       case when l_returnflag = 'A' then 'message' when l_returnflag = 'R' and l_quantity > 25 then 'enum' end as written
+from lineitem"""),
+    "fields": ("lineitem", """
+select 'M' || l_orderkey as owner, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as place,
+       case when l_partkey % 4 = 0 then '_' else '' end || 'field_' || (l_partkey % 3) || case when l_suppkey % 2 = 0 then '_id' else 'Id' end as name,
+       case when l_suppkey % 7 = 0 then 'field' || (l_partkey % 3) || 'Id' when l_suppkey % 11 = 0 then '[x]' end as custom, l_orderkey % 2 = 0 as legacy,
+       cast(l_partkey % 9 + 1 as int) as number, l_linenumber = 3 as is_extension, case l_returnflag when 'A' then 'repeated' when 'N' then 'optional' else 'required' end as label,
+       case when l_linestatus = 'F' then 'string' when l_quantity > 30 then 'int32' else 'message' end as type, l_suppkey % 3 = 0 as packed, l_suppkey % 5 = 0 as lazy, l_suppkey % 13 = 0 as unverified_lazy,
+       l_suppkey % 4 = 0 as has_ctype, case when l_orderkey % 3 = 0 then 2024 when l_orderkey % 3 = 1 then 2023 else 1000 end as edition, l_returnflag = 'N' as optional,
+       case when l_partkey % 6 = 0 then 'string' end as key_type
+from lineitem"""),
+    "enum_values": ("lineitem", """
+select 'E' || l_orderkey as enum, case when l_orderkey % 2 = 0 then 'Some_Kind' else 'Mode' end as enum_name, l_orderkey % 3 = 0 as open, l_orderkey % 5 = 0 as allow_alias,
+       cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as place, cast(l_partkey % 6 as int) as number,
+       case l_suppkey % 4 when 0 then 'SOME_KIND_' when 1 then 'somekind__' when 2 then 'MODE_' else '' end || case when l_partkey % 2 = 0 then 'on' else 'ON' end || case when l_partkey % 5 = 0 then '' else '_' || (l_partkey % 5) end as name
+from lineitem"""),
     "links": ("orders", """
 select src, dst, seed from (select o_orderkey as src, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as dst, o_totalprice > 400000 as seed,
        o_orderstatus as status, lead(o_orderstatus) over (partition by o_custkey order by o_orderkey) as next_status from orders) f where status = next_status"""),

@@ -60,6 +60,41 @@ def reports(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.from_json("content", REPORT).alias("report")).select("path", "report.*")
 
 
+FACTS = (
+    "analyzer struct<name: string, version: string>, language string,"
+    f" bindings array<struct<role: string, state: string, schema: string, schema_file: string, symbol: string, via: array<string>, uses: array<string>, members: array<string>,"
+    f" scope: string, cap: string, library: boolean, kind: string, finding: {FINDING}, carried: array<{FINDING}>>>"
+)
+
+
+def facts(docs: DataFrame) -> DataFrame:
+    """Binding records of facts documents: one row a record, numbered in document order within its path."""
+    read = docs.select("path", F.from_json("content", FACTS).alias("d")).select("path", "d.analyzer", "d.language", F.posexplode("d.bindings").alias("place", "b"))
+    return read.select("path", F.col("analyzer.name").alias("analyzer"), F.col("analyzer.version").alias("version"), "language", "place", "b.*").withColumns(
+        {"component": F.col("finding.component.id"), "ref": F.col("finding.symbol.ref"), "carried_refs": F.transform("carried", lambda f: f.symbol.ref), "carried_components": F.transform("carried", lambda f: f.component.id)}
+    )
+
+
+def missing_facts(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """name of analyzers asked for facts (name, facts_path) that left no document there."""
+    return asked.join(docs.select(F.col("path").alias("facts_path")), "facts_path", "left_anti").select("name")
+
+
+TRUSTED_EXITS = (0, 1, 4)  # fixed values: exit codes beside which a report is read
+
+
+def untrusted(runs: DataFrame) -> DataFrame:
+    """name, reason of runs (name, exit, reported: the report's name, merged_from) whose report isn't read: for its exit code, another
+    analyzer's name or for being a merged one; the first reason."""
+    reason = (
+        F.when(~F.col("exit").isin(*TRUSTED_EXITS), "exit code")
+        .when(F.col("reported").isNull(), "no report")
+        .when(F.col("reported") != F.col("name"), "name")
+        .when(F.col("merged_from").isNotNull(), "merged")
+    )
+    return runs.select("name", reason.alias("reason")).where("reason is not null")
+
+
 def _flat_finding(f: str) -> list[Column]:
     names = {
         "position.path": "path", "position.line": "line", "position.end_line": "end_line", "position.column": "col", "code": "code", "symbol.ref": "ref",
