@@ -17,3 +17,13 @@ def test_line_dedup(spark):
         kept = [x for x in lines if not (len(holders.get(key(x), ())) >= 2 and min(holders[key(x)]) != i)]
         want[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in dedup_lines(table(spark, texts, extra=True)).collect()} == want
+
+
+def test_line_dedup_edges(spark):
+    """Null ids hold lines like others but lose none to them; repeated rows and an empty table."""
+    from tributary.llm.line_dedup import dedup_lines
+
+    assert dedup_lines(table(spark, [])).count() == 0
+    rows = [(2, "a line of ten chars"), (2, "a line of ten chars"), (5, "A LINE of ten chars\nown text")]
+    found = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(table(spark, rows)).collect())
+    assert found == [(2, 1, 0, "a line of ten chars"), (2, 1, 0, "a line of ten chars"), (5, 2, 1, "own text")]

@@ -35,3 +35,28 @@ def test_quality_held_out(spark):
     kept = {r.quality: r.kept for r in rows}
     assert rules.rules and kept[1] > 0.98 and kept[0] < 0.3, (kept, str(rules))
     assert q.learn(judged.select("doc_id").limit(0).toPandas().assign(quality=[])).rules == ()
+
+
+def test_quality_edges(spark):
+    """Empty tables, labels of one class, columns with odd names, null and repeated ids: the verdict is the base rules'."""
+    from pyspark.sql import functions as F
+
+    from tributary.llm import quality_rules as q
+
+    texts = [*corpus(4), (None, None), (None, "word " * 60), (3, "a b c d " * 40), (3, " ".join(f"v{i}" for i in range(60)))]
+    docs = table(spark, texts, extra=True).withColumn("a.b", F.lit(1))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 0, 0)], "doc_id long, quality int, toxic int")
+
+    def good(t):
+        w = WORD.findall(t or "")
+        runs = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        return len(w) >= 50 and 100 * len(covered) <= 50 * len(w)
+
+    for known in (labels, labels.where("false")):
+        kept = q.keep_good(spark, docs, known)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in texts if good(t)), key=str)
+        judged, _ = q.judge(spark, docs, known)
+        assert sorted(((r.doc_id, r.kept, r.base_failed) for r in judged.collect()), key=str) == sorted(((i, good(t), not good(t)) for i, t in texts), key=str)
+    assert q.keep_good(spark, docs.where("false"), labels).count() == 0

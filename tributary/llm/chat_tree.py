@@ -12,11 +12,15 @@ belongs to the first conversation that has it, so nodes in order of that convers
 their depth are in depth-first order. Nothing gathers a tree in one task, so a first
 turn that a third of all conversations share costs no more than others.
 
+The query's units are the token ids of a public tokenizer: head, text and tail of a turn are
+encoded apart, so no token straddles the loss mask, and what the tree says of a
+conversation is decoded from its ids, to the character.
+
 Template: ``<turn ROLE>TEXT</turn>`` and a line feed for each turn. A backslash before ``<turn``, ``</turn`` and
 backslashes in texts, and before ``<``, ``>`` and backslashes in roles, makes it reversible.
 
 Defined cases: a null role or text is empty; turns with equal numbers are ordered by
-role and text, null numbers come first; rows with a null conv_id are one conversation;
+role and text, null numbers come first; each row with a null conv_id is a conversation of its own;
 repeated rows are turns of their own; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -26,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,6 +73,14 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
+@cache
+def _model(path: str):
+    """The tokenizer; one for each worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _id(parent: bytes, role: str, text: str) -> bytes:
     r, t = role.encode(), text.encode()
     return hashlib.blake2b(parent + len(r).to_bytes(8, "big") + r + t, digest_size=16).digest()
@@ -79,16 +92,16 @@ _NODE = "node binary, parent binary, depth int, position long, n_units long, los
 def conversations(rows: DataFrame, loss_role: str = LOSS_ROLE, tokenizer: str | None = None) -> DataFrame:
     """conv_id and the array of its nodes from the first turn to the last."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    ided = rows.where(F.col("conv_id").isNotNull()).select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = rows.where(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("turns"))
+    grouped = ided.unionByName(alone)
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         if tokenizer:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(tokenizer)
-            encode = lambda text: model.encode(text, add_special_tokens=False).ids
+            model = _model(tokenizer)
+            encode = lru_cache(4096)(lambda text: model.encode(text, add_special_tokens=False).ids)
         for batch in batches:
             paths = []
             for turns in batch.column("turns").to_pylist():
@@ -203,26 +216,32 @@ def write_tree(rows: DataFrame, path: str, loss_role: str = LOSS_ROLE, tokenizer
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id, formatted, and the intervals of it under the loss mask, put together from the nodes."""
-    nodes = spark.read.parquet(f"{path}/nodes").select("node", "start", "segment", "loss_start", "loss_end")
-    leaves = spark.read.parquet(f"{path}/leaves").withColumn("leaf", F.xxhash64("conv_id", "path"))
-    # conversations with null or equal ids are told apart by the row's own key
+    """conv_id, and its nodes' segments or ids with what of them is under the loss mask, in order."""
+    nodes = spark.read.parquet(f"{path}/nodes").select("node", "start", "segment", "ids", "loss_start", "loss_end")
+    leaves = spark.read.parquet(f"{path}/leaves").withColumn("leaf", F.monotonically_increasing_id())
+    # conversations with null or equal ids are told apart by the row's own number, which a written table keeps
     steps = leaves.select("conv_id", "leaf", F.explode("path").alias("node")).join(nodes, "node")
-    return steps.groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct("start", "segment", "loss_start", "loss_end"))).alias("parts"))
+    return steps.groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct("start", "segment", "ids", "loss_start", "loss_end"))).alias("parts"))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """What the stored tree says of each conversation."""
+def digests(spark: SparkSession, path: str, tokenizer: str | None = None) -> DataFrame:
+    """What the stored tree says of each conversation; with a tokenizer, read from the token ids alone."""
     parts = read_conversations(spark, path)
     kind = parts.schema["conv_id"].dataType.simpleString()
+    slim = F.transform("parts", lambda p: F.struct(p["start"].alias("start"), (F.lit(None).cast("string") if tokenizer else p["segment"]).alias("segment"), p["ids"].alias("ids"), p["loss_start"].alias("loss_start"), p["loss_end"].alias("loss_end")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        decode = lru_cache(4096)(lambda ids: _model(tokenizer).decode(list(ids), skip_special_tokens=False)) if tokenizer else None
         for batch in batches:
             rows = []
             for conv, found in zip(batch.column("conv_id").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                formatted = "".join(p["segment"] for p in found)
-                loss = "".join(unescape(p["segment"][p["loss_start"] : p["loss_end"]]) for p in found)
+                if decode:
+                    formatted = "".join(decode(tuple(p["ids"])) for p in found)
+                    loss = "".join(unescape(decode(tuple(p["ids"][p["loss_start"] : p["loss_end"]]))) for p in found)
+                else:
+                    formatted = "".join(p["segment"] for p in found)
+                    loss = "".join(unescape(p["segment"][p["loss_start"] : p["loss_end"]]) for p in found)
                 turns = read_turns(formatted)
                 said = "".join(f"{role}\n{text}\n" for role, text, _, _ in turns)
                 rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
@@ -230,29 +249,31 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return in_batches(parts, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_batches(parts.select("conv_id", slim.alias("parts")), run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
-    path = f"{Scratch(spark, 'chat-files').path}/tree"
-    write_tree(rows.unionByName(probe), path)
-    return digests(spark, path)
+    path, tokenizer = f"{Scratch(spark, 'chat-files').path}/tree", public_tokenizers.path("byte_bpe_50k.json")
+    write_tree(rows.unionByName(probe), path, tokenizer=tokenizer)
+    return digests(spark, path, tokenizer)
 
 
 _SQL_PROBE = PROBE.replace("'", "''")
 ORACLE_SQL = {
     "op8_chat_tree": f"""
-with r as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
-           union all select -7, 0, 'user', '{_SQL_PROBE}' union all select -7, 1, 'assistant', '{_SQL_PROBE}'),
+with r as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, row_number() over () k from conversations
+           union all select -7, 0, 'user', '{_SQL_PROBE}', 0 union all select -7, 1, 'assistant', '{_SQL_PROBE}', 0),
      e as (select *, regexp_replace(regexp_replace(text, '\\\\', '\\\\\\\\', 'g'), '<(/?turn)', '\\\\<\\1', 'g') t,
                   regexp_replace(role, '([\\\\<>])', '\\\\\\1', 'g') ro from r)
 select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
        cast(sum(length('<turn ' || ro || '>' || t || '</turn>' || chr(10))) as bigint) formatted_chars
-from e group by conv_id
+from e group by conv_id, case when conv_id is null then k end
 """
 }
 

@@ -248,10 +248,11 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Data
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, in all their columns, that neither the base rules nor the learned list reject."""
-    _, rules = judge(spark, docs, labels)
+    """The documents, in all their columns, that neither the base rules nor the learned list reject. Each text is read and counted once."""
     into = _fresh(docs, "counts")
-    return with_counts(docs, docs.columns, into=into).where(~base_failed(into) & rules.keeps(into)).drop(into)
+    counted = Scratch(spark, "quality").save(with_counts(docs, docs.columns, into=into), "counted")
+    rules = fit(counted, labels, counts=into)
+    return counted.where(~base_failed(into) & rules.keeps(into)).drop(into)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,4 +67,8 @@ def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(_BATCH_CONF, None) is None:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    names = df.columns
+    if not any(mark in n for n in names for mark in ".`"):
+        return df.mapInArrow(run, schema)
+    # mapInArrow takes such names apart
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
