@@ -31,7 +31,7 @@ def test_ngram_join(spark, monkeypatch, floors):
     assert found == components(texts)
     kept = ngram_join.keep_one(table(spark, [*texts, texts[0]]))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in components(texts).values()})
-    assert ngram_join.join_similar(table(spark, []).where("false")).count() == 0 and ngram_join.keep_one(table(spark, [])).count() == 0
+    assert ngram_join.keep_one(table(spark, [])).count() == 0
 
 
 def test_words_that_collide_modulo_a_power_of_two(spark):
@@ -68,16 +68,10 @@ def test_one_id_with_several_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in ngram_join.join_similar(small).collect()) == [(1, 1), (2, 1)]
 
 
-def test_sets_that_share_half_a_digest(spark, monkeypatch):
+def test_sets_that_share_half_a_digest(spark):
     from tributary.llm import ngram_join
 
     texts = corpus(8, 40)
-    found = []
-    monkeypatch.setattr(ngram_join, "_nodes", lambda docs, keys, scratch, plain=ngram_join._nodes: found.append(plain(docs, keys, scratch)) or found[-1])
-    ngram_join.join_similar(table(spark, texts)).collect()
-    rows, _, clashes = found[0]
-    some = [r.node for r in rows.where("doc and node <> 0").select("node").distinct().limit(3).collect()]
-    assert clashes == frozenset()
     assert ngram_join.node_of(np.arange(3, dtype=np.uint64), frozenset([ngram_join.set_hash(np.arange(3, dtype=np.uint64))[0]])) == ngram_join.set_hash(np.arange(3, dtype=np.uint64))[::-1]
     keys = ngram_join.draw_keys(b"x")
     plain = ngram_join.set_rows(table(spark, texts), keys).where("doc").select("text_key", "node", "other")
@@ -98,13 +92,16 @@ def test_pages_of_one_template_cost_no_comparisons(spark, monkeypatch):
     from tributary.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "HEAVY", 16)
-    kept = []
-    monkeypatch.setattr(ngram_join, "_open", lambda *a, plain=ngram_join._open: kept.append(plain(*a)) or kept[-1])
-    for n in (200, 800):
-        kept.clear()
-        done = ngram_join.join_similar(table(spark, template_pages(n)))
-        assert done.where("doc_id <> component_id").count() == 0
-        assert [m.count() for m in kept] == [0] * (ngram_join.STAR_ROUNDS + 1)
+    sizes = []
+
+    def counted(*a, plain=ngram_join._open):
+        members = plain(*a)
+        sizes.append(members.count())
+        return members
+
+    monkeypatch.setattr(ngram_join, "_open", counted)
+    done = ngram_join.join_similar(table(spark, template_pages(600)))
+    assert done.where("doc_id <> component_id").count() == 0 and sizes == [0] * (ngram_join.STAR_ROUNDS + 1)
 
 
 @pytest.mark.parametrize("heavy", [2, 64])

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm.graph import components
-from tributary.llm.shared import Scratch, in_batches, table
+from tributary.llm.shared import Scratch, in_batches, release, table
 from tributary.llm.shingles import U64, combined, document_sets, draw_keys, mix, one_text, pieces, set_hash
 
 PERCENT = 75
@@ -269,6 +269,7 @@ def _lists(docs: DataFrame, frequent, keys: np.ndarray, percent: int, clashes: f
     several = marked.where("low <> high or known").select("sig", "node", "n", "reach")
     lists = scratch.save(several.unionByName(heavy).distinct(), "lists")
     scratch.drop("posts")
+    release(docs.sparkSession)
     return lists
 
 
@@ -393,6 +394,8 @@ def grouped(docs: DataFrame, percent: int = PERCENT, keep: bool = False) -> tupl
         links = fresh if links is None else links.unionByName(fresh)
         if labels is None or not fresh.isEmpty():
             labels = components(links, scratch, f"labels-{k}")
+        scratch.drop("lists" if k == 0 else f"open-{k - 1}", f"labelled-{k}", f"stats-{k}", f"hubs-{k}")
+        release(spark)
         lists = members.drop("label")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # written, so that Spark splits the join of copies with their node
@@ -400,7 +403,10 @@ def grouped(docs: DataFrame, percent: int = PERCENT, keep: bool = False) -> tupl
     reps = scratch.save(reps.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
     known = rows.where("doc").select("doc_id", "text_key", "node", "n")
     done = known.join(reps, "node", "left").select("doc_id", "text_key", "n", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return scratch.save(done, "grouped"), scratch
+    done = scratch.save(done, "grouped")
+    scratch.drop("texts", "components", *(f"sets-{len(clashes)}", f"nodes-{len(clashes)}"), f"open-{STAR_ROUNDS}", "classes", "class-pairs", "class-labels", "label-pairs")
+    release(spark)
+    return done, scratch
 
 
 def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -6,10 +6,12 @@ Lineage is cut with written tables only: they outlive a lost executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +37,13 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """A new folder of written tables under the shared root."""
 
+    watchers: list[list[Scratch]] = []  # lists that take in every folder opened while they are here
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        for found in self.watchers:
+            found.append(self)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "zstd") -> DataFrame:
         """Write ``df`` and read it back, with its schema even where it has no rows."""
@@ -45,11 +51,33 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def drop(self, *names: str) -> None:
+        """Delete tables, or the whole folder if none is named."""
+        for name in names or ("",):
+            self._delete(f"{self.path}/{name}" if name else self.path)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def opened() -> Iterator[list[Scratch]]:
+    """The folders that are opened inside."""
+    found: list[Scratch] = []
+    Scratch.watchers.append(found)
+    try:
+        yield found
+    finally:
+        Scratch.watchers.remove(found)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that nothing refers to any more; it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.pieces_cache import piece_cache
-from tributary.llm.shared import Scratch, in_batches, table
+from tributary.llm.shared import Scratch, in_batches, release, table
 from tributary.llm.shingles import U64, mix, pieces
 
 END_ID = 2
@@ -193,6 +193,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     placed = in_batches(ordered, _placed, f"doc_id {kind}, local_start long, n_tokens long, chunks array<binary>, root binary, part int")
     local = scratch.save(placed, "local", partition_by=["part"])
     scratch.drop("encoded")
+    release(spark)
     totals = local.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = totals.select("part", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("first_start"))
@@ -201,6 +202,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     final = final.repartition(parts, "part").sortWithinPartitions("part", "start")
     final.write.option("compression", "zstd").parquet(f"{path}/recipes")
     scratch.drop("local")
+    release(spark)
     _manifest(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
     _total(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/total")
 
