@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names
-from tributary.operators import declarations, envelope, generation, planning, settings, suppression
+from tributary.operators import accounting, declarations, envelope, generation, outcomes, planning, schema_rules, settings, suppression
 from tributary.registry import query, read
 from tributary.relations import derive
-from tributary.sources import documents
+from tributary.sources import documents, proto_files, yaml_subset
 
 # symbols, fields and enums of schema files
 
@@ -565,3 +565,111 @@ def text_lists(spark, sf_dir):
 def relayed_lines(spark, sf_dir):
     printed = F.concat(F.lit("x: a\r\ntool: b\rc"), "page_id", F.lit("\n"))
     return read(spark, sf_dir, "pages").select("page_id", F.array_join(names.quoted_lines(printed, F.lit("tool")), "|").alias("said"))
+
+
+# outcomes
+
+@query("select s_name as name, s_suppkey % 4 = 3 and s_suppkey % 3 <> 0 as setup_failed, s_suppkey % 4 = 3 and s_suppkey % 3 = 1 as no_program from supplier")
+def outcome_kinds(spark, sf_dir):
+    failures = "case s_suppkey % 3 when 0 then array(struct('read' as class, false as setup)) when 1 then array(struct('no-program' as class, true as setup)) else array(struct('no-program' as class, true as setup), struct('missing' as class, true as setup)) end as failures"
+    return outcomes.kinds(read(spark, sf_dir, "supplier").selectExpr("s_name as name", "s_suppkey % 4 as exit", failures)).select("name", "setup_failed", "no_program")
+
+
+@query("select o_custkey as run, case when bool_and(o_orderstatus <> 'O') then 2 else 3 end as exit from orders group by o_custkey")
+def exit_codes(spark, sf_dir):
+    """2 only where every joined error is a refusal."""
+    return outcomes.exit_code(read(spark, sf_dir, "orders").selectExpr("o_custkey as run", "o_orderstatus <> 'O' as refusal"))
+
+
+_RUNS = """select s_suppkey as ord, s_name as name, 'n' || (s_nationkey % 5) as language, s_suppkey % 4 = 1 as setup_failed, s_suppkey % 4 = 2 as omitted, s_suppkey % 8 = 2 as leaves from supplier"""
+
+
+@query(f"""with r as ({_RUNS}), g as (select * from r where not setup_failed and not omitted), names as (select string_agg(name, ' and ' order by name) names from g),
+rest as (select f.ord, string_agg(distinct '"' || g.language || '"', ', ' order by '"' || g.language || '"') rest from r f join g on g.language <> f.language where f.setup_failed group by f.ord)
+select cast(place as integer) place, name, case when setup_failed then 'tool: to analyze the target without ' || name || ', ' || case when rest is null then 'run ' || names || ' alone' else 'set analysis.languages: [' || rest || '] or run ' || names || ' alone' end
+ else 'tool: ' || name || ' found no program, so the run ' || case when leaves then 'leaves "' || language || '" out of scope, and with it the consumer c' || ord else 'goes on without it' end end as line
+from (select r.*, row_number() over (order by name, ord) place from r) p left join rest using (ord), names where setup_failed or omitted""")
+def outcome_lines(spark, sf_dir):
+    read(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    none = "array()"
+    runs = spark.sql(_RUNS).selectExpr("ord", "name", "array(language) as languages", "setup_failed", "omitted", f"case when leaves then array(language) else {none} end as left_out", f"case when leaves then array('c' || ord) else {none} end as dropped")
+    return outcomes.lines(runs, "tool")
+
+
+_SUBJECTS = [("DS1001", "symbols", "delete it", ["a comment", "a row"]), ("DS2001", "edges", "cut it", []), ("DS3001", "roots", "name it", ["a comment", "a row", "a file"]), ("DS2002", "x", "y", ["z"])]
+
+
+@query("""/*with*/ v(place, code, line) as (values (1, 'DS1001', 'remediation: for each failing finding about symbols: delete it; or record an adjudication with its reason in a comment or a row'),
+(2, 'DS2001', 'remediation: for each failing finding about edges: cut it; no suppression can name edges'), (3, 'DS2002', 'remediation: for each failing finding about x: y; or record an adjudication with its reason in z'),
+(5, 'DS3001', 'remediation: for each failing finding about roots: name it; or record an adjudication with its reason in a comment, a row or a file')) select place, line from v where code in (select code from findings where severity_rank >= 2)""", "findings")
+def remediation_lines(spark, sf_dir):
+    vocabulary = spark.createDataFrame([(0, "DS3002"), (1, "DS1001"), (2, "DS2001"), (3, "DS2002"), (4, "DS9001"), (5, "DS3001")], "place int, code string")
+    failing = accounting.failing_subjects(derive(spark, sf_dir, "findings"), 2, vocabulary)
+    return outcomes.remediation(failing, spark.createDataFrame(_SUBJECTS, "code string, names string, remedy string, places array<string>"))
+
+
+@query("""/*with*/ d as (select distinct src as ref, case when src % 7 = 0 then 'message' when src % 5 = 0 then 'enum' when src % 3 = 0 then 'field' else 'extension' end kind from links),
+arcs as (select src, dst from links where seed and dst in (select ref from d) union select src, dst from links join d a on a.ref = src join d b on b.ref = dst where not seed and a.kind in ('message', 'enum') and b.kind in ('field', 'value')),
+r as (select ref from d where kind = 'extension' and ref % 11 = 0 union select a.dst from r join arcs a on a.src = r.ref) select ref from r""", "links", recursive=True)
+def option_reached(spark, sf_dir):
+    links = derive(spark, sf_dir, "links")
+    declared = links.select(F.col("src").alias("ref")).distinct().selectExpr("ref", "case when ref % 7 = 0 then 'message' when ref % 5 = 0 then 'enum' when ref % 3 = 0 then 'field' else 'extension' end as kind")
+    return schema_rules.option_reached(declared.where("kind = 'extension' and ref % 11 = 0"), declared, links.where("seed"), links.where("not seed"))
+
+
+@query("""select 'roots.json' as path, 1 as line, 1 as col, n as ref, case when n like '%0' then 'configured root pattern' else 'configured root' end || ' matches no symbol of the inventory' as message
+from (select s_name || case when s_suppkey % 10 = 0 then '*0' else 'x' end n from supplier)""")
+def root_findings(spark, sf_dir):
+    return schema_rules.root_findings(read(spark, sf_dir, "supplier").selectExpr("s_name || case when s_suppkey % 10 = 0 then '*0' else 'x' end as entry"), "roots.json")
+
+
+@query("""select 'k' || c_custkey as key, c_mktsegment as value, 'flags' as source from customer where c_nationkey % 2 = 0 union all select 'k' || c_custkey, c_name, 'repository' from customer where c_nationkey % 2 = 1""")
+def assembled_settings(spark, sf_dir):
+    """Flags before the repository's document."""
+    customers = read(spark, sf_dir, "customer")
+    flags, stated = customers.where("c_nationkey % 2 = 0").selectExpr("'k' || c_custkey as key", "c_mktsegment as value"), customers.selectExpr("'k' || c_custkey as key", "c_name as value")
+    every, _ = settings.assembled([("flags", flags), ("repository", stated)], stated.select("key", F.lit("string").alias("type")))
+    return settings.resolve(every)
+
+
+@query("""/*with*/ n as (select distinct code as kind, path, case when root = 1 then component end as key, 'm' || line as message from findings)
+select kind, path, key, message, row_number() over (order by kind, path, key nulls first, message) as place from n""", "findings")
+def ordered_notes(spark, sf_dir):
+    notes = derive(spark, sf_dir, "findings").selectExpr("code as kind", "path", "case when root = 1 then component end as key", "'m' || line as message").distinct()
+    return envelope.ordered_notes(notes)
+
+
+@query("select 'program' as target_kind, cast(0 as bigint) n_findings, cast(0 as bigint) deletable_lines, cast(0 as bigint) listed")
+def empty_merge(spark, sf_dir):
+    found = envelope.empty_merge(spark, "program")
+    return found.select("target_kind", "n_findings", "deletable_lines", (F.size("findings") + F.size("notes")).cast("bigint").alias("listed"))
+
+
+# schema files and YAML
+
+_PROTO = """'syntax = "proto3"; package p' || (l_partkey % 30) || '; // n' || chr(10) || 'message M' || l_orderkey || ' { repeated int32 f_' || l_suppkey || ' = ' || l_linenumber || ' [json_name = "j' || l_suppkey || '"]; reserved ' || (l_linenumber + 1) || ' to 90; }'"""
+
+
+@query("""select l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_partkey as file, 'proto://p' || (l_partkey % 30) || '#M' || l_orderkey || '.f_' || l_suppkey as ref, 'repeated' as label, cast(l_linenumber as bigint) as number, 2 as line,
+cast(length('message M' || l_orderkey || ' { ') + 1 as int) as col, 'j' || l_suppkey as json_name from lineitem""")
+def schema_files_scan(spark, sf_dir):
+    """Fields of schema files, one file a row."""
+    docs = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_partkey as path", f"{_PROTO} as content")
+    found = proto_files.declarations(proto_files.parsed(docs)).where("kind = 'field'")
+    return found.select("file", "ref", "label", "number", "line", "col", F.col("options")["json_name"].alias("json_name"))
+
+
+@query("""with recursive a as (select 'f' || c_custkey || '.proto' as src, 'f' || (c_custkey * 7 % 40 + 1) || '.proto' as dst from customer),
+r as (select src, dst from a union select r.src, a.dst from r join a on a.src = r.dst) select src as file from r where src = dst""")
+def import_cycles(spark, sf_dir):
+    """Schema files whose imports lead back to them."""
+    docs = read(spark, sf_dir, "customer").selectExpr("'f' || c_custkey || '.proto' as path", "'import \"f' || (c_custkey * 7 % 40 + 1) || '.proto\"; message M {}' as content")
+    return proto_files.cyclic(proto_files.parsed(docs))
+
+
+@query("""select 'b' || s_suppkey as path, k as key, case k when 'version' then 'v1' when 'plugins.0.name' then s_name when 'plugins.0.opt.0' then 'a: b' else cast(s_nationkey as varchar) end as value, cast(null as varchar) refusal
+from supplier, (values ('version'), ('plugins.0.name'), ('plugins.0.opt.0'), ('plugins.0.opt.1')) t(k) where s_suppkey % 9 <> 0 union all select 'b' || s_suppkey, null, null, 'an anchor' from supplier where s_suppkey % 9 = 0""")
+def yaml_scan(spark, sf_dir):
+    """Scalars of YAML documents; a document outside the subset is a refusal."""
+    text = "'version: ' || case when s_suppkey % 9 = 0 then '&x ' else '' end || 'v1' || chr(10) || 'plugins:' || chr(10) || '  - name: ' || s_name || ' # note' || chr(10) || '    opt: [\"a: b\", ' || s_nationkey || ']'"
+    return yaml_subset.entries(read(spark, sf_dir, "supplier").selectExpr("'b' || s_suppkey as path", f"{text} as content"))

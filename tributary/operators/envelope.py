@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.plans.tables import Tables
@@ -101,3 +101,15 @@ def fact_refusals(facts: DataFrame, inputs: DataFrame, findings: DataFrame) -> D
 def no_inputs(inputs: DataFrame) -> DataFrame:
     """One row, ``refused``, if there is no input at all."""
     return inputs.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no input").alias("refused"))
+
+
+def ordered_notes(notes: DataFrame) -> DataFrame:
+    """Adds ``place`` in the order of notes: kind, path, key, message, a missing one first."""
+    return numbered(notes, ["kind", "path", "key", "message"], "place")
+
+
+def empty_merge(spark: SparkSession, kind: str | None = None) -> DataFrame:
+    """The report of no input: one row of empty arrays and zero totals, over a target of the kind given."""
+    none = F.array().cast("array<string>")
+    arrays = ("merged_from", "languages", "configurations", "findings", "edge_evaluations", "stale_suppressions", "notes")
+    return spark.range(1).select(F.lit(kind).cast("string").alias("target_kind"), *[none.alias(c) for c in arrays], *[F.lit(0).cast("bigint").alias(c) for c in ("n_findings", "deletable_lines", "pending", "omitted")])

@@ -73,3 +73,26 @@ def unresolved_holds(declarations: DataFrame, unresolved: DataFrame) -> DataFram
     """ref, reason, priority: declarations (path: array, ref) whose member has a type that didn't resolve (unresolved: path of the type, one step longer)."""
     parents = unresolved.where("size(path) > 0").select(F.expr("slice(path, 1, size(path) - 1)").alias("path")).distinct()
     return declarations.join(parents, "path", "left_semi").select("ref", F.lit("unresolved-type").alias("reason"), F.lit(2).alias("priority"))
+
+
+def option_reached(extensions: DataFrame, declarations: DataFrame, uses: DataFrame, members: DataFrame) -> DataFrame:
+    """ref of the declarations that extensions set in options (ref) keep: along types used (src, dst) and, from messages and enums, their
+    fields and values (members: src, dst). declarations: ref, kind."""
+    kinds = declarations.select("ref", "kind")
+    within = members.join(kinds.where("kind in ('message', 'enum')").select(F.col("ref").alias("src")), "src", "left_semi")
+    within = within.join(kinds.where("kind in ('field', 'value')").select(F.col("ref").alias("dst")), "dst", "left_semi")
+    known = uses.join(kinds.select(F.col("ref").alias("dst")), "dst", "left_semi")
+    seeds = extensions.select("ref").join(kinds.select("ref"), "ref", "left_semi")
+    return reachable(seeds.withColumnRenamed("ref", "node"), known.select("src", "dst").union(within.select("src", "dst"))).withColumnRenamed("node", "ref")
+
+
+def explicit_json(declarations: DataFrame) -> DataFrame:
+    """Declarations (ref, kind, options) with ``explicit_json``: a field that states json_name, or a value that states its JSON name."""
+    said = F.when(F.col("kind").isin("field", "extension"), F.map_contains_key("options", "json_name")).when(F.col("kind") == "value", F.exists(F.map_keys("options"), lambda k: k.endswith("json_name") | k.endswith("enum_value)")))
+    return declarations.withColumn("explicit_json", F.coalesce(said, F.lit(False)))
+
+
+def root_findings(entries: DataFrame, document: str) -> DataFrame:
+    """path, line, col, ref, message: a finding at the start of the declaring document for each unmatched root (entry)."""
+    pattern = F.when(F.col("entry").rlike("[*?]"), "configured root pattern").otherwise("configured root")
+    return entries.select(F.lit(document).alias("path"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.col("entry").alias("ref"), F.concat(pattern, F.lit(" matches no symbol of the inventory")).alias("message"))

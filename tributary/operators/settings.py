@@ -62,3 +62,12 @@ def delivered(resolved: DataFrame, routing: DataFrame, languages: list[str]) ->
     """key, value of the settings that any of the languages reads (routing: key, language)."""
     read = routing.where(F.col("language").isin(*languages)).select("key").distinct()
     return resolved.join(read, "key", "left_semi").select("key", "value")
+
+
+def assembled(sources: list[tuple[str, DataFrame]], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The settings of ranked sources (name, stated: key, value), the strongest first, and the refusals of those that aren't valid."""
+    every = None
+    for rank, (name, stated) in enumerate(sources):
+        one = stated.select("key", "value", F.lit(name).alias("source"), F.lit(rank).alias("source_rank"), F.lit(0).alias("seq"))
+        every = one if every is None else every.unionByName(one)
+    return every, refused_values(every, keys)
