@@ -31,7 +31,7 @@ def test_enum_prefixes_and_styles(spark):
 def test_json_names_in_two_passes(spark):
     rows = [("m", 1, "a_b", None, False), ("m", 2, "aB", None, False), ("m", 3, "c", "aB", False), ("m", 4, "d", "[x]", False), ("l", 1, "a_b", None, True), ("l", 2, "aB", None, True), ("l", 3, "c", "z", True), ("l", 4, "d", "z", True)]
     found = declarations.json_conflicts(spark.createDataFrame(rows, "owner string, place int, name string, custom string, legacy boolean"))
-    assert sorted(tuple(r) for r in found.collect()) == [("l", 4, "custom", 3), ("m", 2, "default", 1), ("m", 3, "custom", 1), ("m", 4, "invalid", None)]
+    assert sorted(tuple(r) for r in found.collect()) == [("l", 4, "custom", 3), ("m", 2, "default", 1), ("m", 3, "custom", 1), ("m", 4, "invalid", 0)]
 
 
 def test_synthetic_oneofs_step_aside(spark):

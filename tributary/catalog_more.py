@@ -77,7 +77,7 @@ g as (select owner, kind, json, min(place) other, arg_min(own, place) other_own
 
 @query(f"""{_JSON} select owner, place, kind, other from r join g using (owner, kind, json) where place > other
 and not (kind = 'custom' and not own and not other_own) and not (legacy and (not own or not other_own))
-union all select owner, place, 'invalid', null from n where own and custom like '[%]'""", "fields")
+union all select owner, place, 'invalid', 0 from n where own and custom like '[%]'""", "fields")
 def json_conflicts(spark, sf_dir):
     return declarations.json_conflicts(derive(spark, sf_dir, "fields"))
 

@@ -99,7 +99,7 @@ def json_conflicts(fields: DataFrame) -> DataFrame:
 
     Two passes: default names alone, then custom ones where they differ. In the second, two
     default names aren't told again; under the legacy format only two custom names conflict.
-    A custom name in brackets is invalid and takes part in nothing.
+    A custom name in brackets is invalid, told with 0 as the other, and takes part in nothing.
     """
     named = fields.select("owner", "place", "custom", "legacy", json_name("name").alias("default"))
     is_custom = F.col("custom").isNotNull() & (F.col("custom") != F.col("default"))
@@ -113,7 +113,7 @@ def json_conflicts(fields: DataFrame) -> DataFrame:
     met = valid.join(first, ["owner", "pass", "json"]).where("place > first.place")
     told = met.where("not (pass = 'custom' and not own and not first.own) and not (legacy and (not own or not first.own))")
     return told.select("owner", "place", F.col("pass").alias("kind"), F.col("first.place").alias("other")).union(
-        rows.where("invalid").select("owner", "place", F.lit("invalid"), F.lit(None).cast("int"))
+        rows.where("invalid").select("owner", "place", F.lit("invalid"), F.lit(0))
     )
 
 
