@@ -30,12 +30,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.llm.pieces_cache import byte_table, piece_cache
 from tributary.llm.shared import Scratch, in_batches, table
 
 LOSS_ROLE = "assistant"
@@ -73,14 +74,6 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
-@cache
-def _model(path: str):
-    """The tokenizer; one for each worker process."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def _id(parent: bytes, role: str, text: str) -> bytes:
     r, t = role.encode(), text.encode()
     return hashlib.blake2b(parent + len(r).to_bytes(8, "big") + r + t, digest_size=16).digest()
@@ -98,20 +91,22 @@ def conversations(rows: DataFrame, loss_role: str = LOSS_ROLE, tokenizer: str |
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        if tokenizer:
-            model = _model(tokenizer)
-            encode = lru_cache(4096)(lambda text: model.encode(text, add_special_tokens=False).ids)
         for batch in batches:
             paths = []
-            for turns in batch.column("turns").to_pylist():
+            talks = batch.column("turns").to_pylist()
+            formatted = [[format_turn(t["role"], t["text"]) for t in turns] for turns in talks]
+            if tokenizer:  # head, text and tail apart, so that units never straddle the loss mask
+                pieces = [x.encode() for turns in formatted for segment, a, b in turns for x in (segment[:a], segment[a:b], segment[b:])]
+                every, first = piece_cache(tokenizer).encode(np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum([0, *map(len, pieces)]))
+                first = first.tolist()
+            at = 0
+            for turns, segments in zip(talks, formatted, strict=True):
                 path, parent, position = [], b"", 0
-                for depth, t in enumerate(turns):
-                    segment, a, b = format_turn(t["role"], t["text"])
+                for depth, (t, (segment, a, b)) in enumerate(zip(turns, segments, strict=True)):
                     ids = None
-                    if encode:  # head, text and tail apart, so that units never straddle the loss mask
-                        parts = [encode(segment[:a]), encode(segment[a:b]), encode(segment[b:])]
-                        ids, a, b = sum(parts, []), len(parts[0]), len(parts[0]) + len(parts[1])
+                    if tokenizer:
+                        ids, a, b = every[first[at] : first[at + 3]], first[at + 1] - first[at], first[at + 2] - first[at]
+                        at += 3
                     n = len(segment) if ids is None else len(ids)
                     node = _id(parent, t["role"], t["text"])
                     masked = t["role"] == loss_role
@@ -232,13 +227,14 @@ def digests(spark: SparkSession, path: str, tokenizer: str | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        decode = lru_cache(4096)(lambda ids: _model(tokenizer).decode(list(ids), skip_special_tokens=False)) if tokenizer else None
+        table = byte_table(tokenizer) if tokenizer else []
+        decode = lambda ids: b"".join([table[i] for i in ids]).decode()
         for batch in batches:
             rows = []
             for conv, found in zip(batch.column("conv_id").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                if decode:
-                    formatted = "".join(decode(tuple(p["ids"])) for p in found)
-                    loss = "".join(unescape(decode(tuple(p["ids"][p["loss_start"] : p["loss_end"]]))) for p in found)
+                if tokenizer:
+                    formatted = "".join(decode(p["ids"]) for p in found)
+                    loss = "".join(unescape(decode(p["ids"][p["loss_start"] : p["loss_end"]])) for p in found)
                 else:
                     formatted = "".join(p["segment"] for p in found)
                     loss = "".join(unescape(p["segment"][p["loss_start"] : p["loss_end"]]) for p in found)

@@ -170,3 +170,14 @@ class PieceCache:
 def piece_cache(path: str, encode_special: bool = False) -> PieceCache:
     """One for each worker process, kept between tasks."""
     return PieceCache(path, encode_special)
+
+
+@cache
+def byte_table(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level tokenizer stands for, special tokens by their content."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    added = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+    byte_of = {c: b for b, c in _BYTE_CHARS.items()}
+    return [added[i] if i in added else bytes(byte_of[c] for c in tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())]
