@@ -279,9 +279,11 @@ def admission_names(spark, sf_dir):
     return admission.repeated_names(derive(spark, sf_dir, "analyzers"))
 
 
-@query("select ord, name, target_root from analyzers where target_root <> (select target_root from analyzers order by ord limit 1)", "analyzers")
+@query("""/*with*/ f as (select target_root, 'i' || ord % 2 as i from analyzers order by ord limit 1)
+select ord, name, a.target_root, 'i' || ord % 2 as target_identity from analyzers a, f where a.target_root <> f.target_root or 'i' || ord % 2 <> i""", "analyzers")
 def admission_target(spark, sf_dir):
-    return admission.other_targets(derive(spark, sf_dir, "analyzers"))
+    """Inputs of another root or identity than the first."""
+    return admission.other_targets(derive(spark, sf_dir, "analyzers").withColumn("target_identity", F.concat(F.lit("i"), F.col("ord") % 2)))
 
 
 @query("select ord, name, version from analyzers where version not in ('1.0', '1.1', '1.2')", "analyzers")
@@ -376,14 +378,18 @@ def common_ancestor(spark, sf_dir):
     return paths.common_directory(rows, ["host"])
 
 
-_CENSUS = {"two": (("2", "4"), ("en", "de")), "zero": (("0", "5"), ("fr",)), "odd": (("1", "3", "7", "9"), ())}
+_CENSUS = {
+    "two": paths.Language(endings=("2", "4"), skipped_dirs=("en", "de"), skipped_files=("42", "4")),
+    "zero": paths.Language(markers=("index", "7"), endings=("0", "5"), skipped_dirs=("fr",)),
+    "odd": paths.Language(markers=("2",), endings=("1", "3", "7", "9")),
+}
 
 
 @query("""select language, count(*) files from (
-select unnest(list_filter([case when right(path, 1) in ('2', '4') and not list_has_any(d, ['en', 'de']) then 'two' end,
- case when right(path, 1) in ('0', '5') and not list_has_any(d, ['fr']) then 'zero' end,
- case when right(path, 1) in ('1', '3', '7', '9') then 'odd' end], lambda x: x is not null)) language
-from (select path, string_split(path, '/')[1:len(string_split(path, '/')) - 1] d from files)) group by language""", "files")
+select unnest(list_filter([case when right(path, 1) in ('2', '4') and n not in ('42', '4') and not list_has_any(d, ['en', 'de']) then 'two' end,
+ case when (right(path, 1) in ('0', '5') or n in ('index', '7')) and not list_has_any(d, ['fr']) then 'zero' end,
+ case when right(path, 1) in ('1', '3', '7', '9') or n = '2' then 'odd' end], lambda x: x is not null)) language
+from (select path, string_split(path, '/')[-1] n, string_split(path, '/')[1:len(string_split(path, '/')) - 1] d from files)) group by language""", "files")
 def census(spark, sf_dir):
     return paths.census(derive(spark, sf_dir, "files"), _CENSUS)
 

@@ -20,9 +20,10 @@ def repeated_names(inputs: DataFrame) -> DataFrame:
 
 
 def other_targets(inputs: DataFrame) -> DataFrame:
-    """Inputs whose target isn't the first input's: linear, as the first offending pair always has it."""
-    first = inputs.agg(F.min_by("target_root", "ord").alias("first_root"))
-    return inputs.crossJoin(F.broadcast(first)).where("target_root <> first_root").select("ord", "name", "target_root")  # one row
+    """Inputs whose target (root and identity) isn't the first input's: linear, as the first offending pair always has it."""
+    first = inputs.agg(F.min_by(F.struct("target_root", "target_identity"), "ord").alias("first"))
+    other = ~(F.col("target_root").eqNullSafe(F.col("first.target_root")) & F.col("target_identity").eqNullSafe(F.col("first.target_identity")))
+    return inputs.crossJoin(F.broadcast(first)).where(other).select("ord", "name", "target_root", "target_identity")  # one row
 
 
 def collisions(rows: DataFrame, key: str, identity: list[str]) -> DataFrame:

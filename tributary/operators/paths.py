@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +48,25 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if c in "\\.+^$()[]{}|" else c) for c in glob) + "$"
 
 
-def census(files: DataFrame, rules: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
-    """For each language of ``rules`` (endings, skipped directories): the files that count for it."""
+class Language(NamedTuple):
+    """What puts a language in scope: files of these names, or with these endings but not these names, outside these directories."""
+
+    markers: tuple[str, ...] = ()
+    endings: tuple[str, ...] = ()
+    skipped_dirs: tuple[str, ...] = ()
+    skipped_files: tuple[str, ...] = ()
+
+
+def census(files: DataFrame, rules: dict[str, Language]) -> DataFrame:
+    """For each language of ``rules`` that any file counts for: how many do. A directory hides its files from its own language only."""
     parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     rows = []
-    for language, (endings, skipped) in rules.items():
-        dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-        ends = F.lit(False)
-        for e in endings:
-            ends = ends | F.col("path").endswith(e)
-        rows.append(F.when(ends & ~F.arrays_overlap(dirs, F.array(*map(F.lit, skipped))), F.lit(language)))
+    for language, rule in rules.items():
+        source = F.lit(False)
+        for e in rule.endings:
+            source = source | F.col("path").endswith(e)
+        counts = name.isin(*rule.markers) | (source & ~name.isin(*rule.skipped_files))
+        rows.append(F.when(counts & ~F.arrays_overlap(dirs, F.array(*map(F.lit, rule.skipped_dirs)).cast("array<string>")), F.lit(language)))
     return files.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("language")).groupBy("language").agg(F.count("*").alias("files"))
