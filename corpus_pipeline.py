@@ -24,7 +24,6 @@ from tributary.llm.quality_rules import keep_good
 from tributary.llm.shared import Scratch, opened, release, table
 from tributary.llm.token_store import tokens_of
 
-
 _left: list[Scratch] = []  # folders of the stage before, whose rows are written by now
 
 
@@ -32,7 +31,9 @@ def _stage(operator: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
     @wraps(operator)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _left:
-            _left.pop().drop()
+            worked_in = _left.pop()
+            worked_in.spark = spark  # the session of the stage before may have ended
+            worked_in.drop()
         release(spark)
         with opened() as found:
             kept = operator(spark, docs, sf_dir)
