@@ -74,9 +74,10 @@ def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and the hashes of the lines that it loses."""
-    keys = line_keys(docs, min_chars)
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    keys = scratch.save(line_keys(docs, min_chars), "keys")  # read twice, hashed once
     # a written table, not an aggregate, beside the hot keys' exchange: else Spark doesn't split a skewed join
-    repeated = Scratch(docs.sparkSession, "line-dedup").save(repeated_lines(keys, min_docs), "repeated")
+    repeated = scratch.save(repeated_lines(keys, min_docs), "repeated")
     lost = keys.join(repeated, "line").where(F.col("doc_id") > F.col("first_doc"))
     return lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lost"))
 
