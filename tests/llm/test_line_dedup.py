@@ -20,10 +20,11 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_edges(spark):
-    """Null ids hold lines like others but lose none to them; repeated rows and an empty table."""
+    """Rows without id count for nothing and stay whole; repeated rows are treated alike; an empty table."""
     from tributary.llm.line_dedup import dedup_lines
 
     assert dedup_lines(table(spark, [])).count() == 0
-    rows = [(2, "a line of ten chars"), (2, "a line of ten chars"), (5, "A LINE of ten chars\nown text")]
-    found = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(table(spark, rows)).collect())
-    assert found == [(2, 1, 0, "a line of ten chars"), (2, 1, 0, "a line of ten chars"), (5, 2, 1, "own text")]
+    rows = [(2, "a line of ten chars"), (2, "a line of ten chars"), (5, "A LINE of ten chars\nown text"), (None, "a line of ten chars\nonly here and there"), (None, None), (7, "Only here and there")]
+    found = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(table(spark, rows)).collect()), key=str)
+    want = [(2, 1, 0, "a line of ten chars"), (2, 1, 0, "a line of ten chars"), (5, 2, 1, "own text"), (None, 2, 0, "a line of ten chars\nonly here and there"), (None, 1, 0, ""), (7, 1, 0, "Only here and there")]
+    assert found == sorted(want, key=str)
